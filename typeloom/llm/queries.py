@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op1_fingerprints", "op2_html", "op3_ngram_join", "op5_language", "op6_quality", "op7_chat", "op8_packing", "op10_sentencepiece")
+MODULES = ("op1_fingerprints", "op2_html", "op3_ngram_join", "op4_substring_dedup", "op5_language", "op6_quality", "op7_chat", "op8_packing", "op9_sharding", "op10_sentencepiece")
 
 
 def _all(kind: str) -> dict:
