@@ -128,21 +128,21 @@ def train(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE,
     return fit(labelled, landmarks)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs``, and lang_pred and score."""
+def identify(docs: DataFrame, model: Model, language_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """All columns of ``docs``, and language and score. Columns are taken by place, so their names may be anything else."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))
-    names = docs.columns
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from typeloom.llm.op5_language import Model
 
         m = Model(*shared.value)
         for batch in slices(batches, "text"):
-            languages, scores = m.score(column(batch, "text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            languages, scores = m.score(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*names, language_col, score_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(docs, run, f"{schema}, lang_pred string, score double")
+    return map_arrow(docs, run, f"{schema}, `{language_col}` string, `{score_col}` double")
 
 
 def held_out(doc_id: Column) -> Column:

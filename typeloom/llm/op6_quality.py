@@ -119,7 +119,8 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source",
     refused = durable(refused_hosts(document_counts(docs, id_col, host_col, text_col)), "refused")
     own = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     counted = document_counts_of_rows(own.select(F.col("_row"), F.col(host_col).alias("host"), F.col(text_col).alias("text")))
-    good = counted.where(~F.col("base_failed"))
+    # a generator, since Spark would move a condition on a plain column below the arrays that it is computed from, and compute those for each element
+    good = counted.select("_row", "host", F.explode(F.array(~F.col("base_failed"))).alias("passed")).where("passed")
     return good.join(refused, good["host"].eqNullSafe(refused["refused_host"]), "left_anti").select("_row.*")
 
 
