@@ -1,7 +1,71 @@
-"""The corpus pipeline."""
-STAGES: list = []
+"""Corpus pipeline: five stages over ``documents``, each a corpus operator.
+
+``STAGES`` holds (name, function); a function takes (spark, docs, sf_dir) and
+returns a DataFrame, which a runner may write as Parquet and reread for the next.
+All but the last return the columns of their input.
+
+Decisions:
+
+- ``language``: documents that are ``und`` (no letter) go, and those that no
+  language's classifier accepts (score below one half). Learned from the input's
+  labelled rows whose crc32 of the id modulo 4 is not 2.
+- ``quality``: documents that fail the rules, or whose host is refused, go.
+- ``ngram_join``: shingles of five words, similarity 0.8; the least id of a
+  component stays. Rows of equal id and text count as one.
+- ``substring_dedup``: later occurrences of passages are cut out of the texts, and
+  ``n_chars`` follows. A text that loses everything stays as an empty one.
+- ``packing``: the result has a row per piece, as ``op8_packing``.
+
+Results for odd input: as the operators say; an empty table passes through all
+stages as an empty table; further columns are kept up to the last stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from typeloom.llm import op3_ngram_join, op4_substring_dedup, op5_language, op6_quality, op8_packing
+from typeloom.llm.common import durable
+
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = op5_language.train(docs, ~op5_language.held_out(F.col("doc_id")))
+    found = op5_language.identify(docs, model, "_language", "_score")
+    return found.where((F.col("_language") != op5_language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).drop("_language", "_score")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op6_quality.keep_good(docs)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = op3_ngram_join.Join(5, 8, 10).run(docs)
+    kept = durable(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    own = docs.withColumn("_text", F.xxhash64("text"))
+    return own.join(kept, own["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = op4_substring_dedup.dedup(docs).drop("removed")
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op8_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("quality", quality), ("ngram_join", ngram_join), ("substring_dedup", substring_dedup), ("packing", packing)]
+
+#: Kernels, packing and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
