@@ -100,7 +100,7 @@ COLUMN_FUNCTIONS: dict[str, Callable] = {
     "pow": lambda c, n: F.pow(c, as_value(n)),
     "hashbytes": lambda c, how="sha256": F.sha2(c, 256) if how == "sha256" else F.md5(c),
     "day": F.dayofmonth, "month": F.month, "year": F.year, "truncate": _truncate, "date": lambda c: c.cast("date"),
-    "time": lambda c: c.cast("time(6)"),
+    "time": lambda c: F.date_format(c, "HH:mm:ss.SSSSSS"),
     "sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "count": F.count, "collect": F.collect_list,
     "arbitrary": lambda c: F.any_value(c, F.lit(True)),
     "argmax": lambda c, key: F.max_by(c, as_value(key)), "argmin": lambda c, key: F.min_by(c, as_value(key)),

@@ -11,7 +11,6 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
-from typeloom import types as tt
 from typeloom.operators.relational import named
 from typeloom.schema import Schema, Table, rows_of, session, snake_case
 
@@ -70,9 +69,9 @@ class NullTableStore:
 
 
 def force_cast_table(table: Table) -> Table:
-    """Declared columns in declared types, in a form that Parquet can hold."""
+    """Declared columns in declared types."""
     kinds = table.schema.types()
-    return Table(table.df.select(*[tt.to_storage(named(c).cast(k.spark), k).alias(c, metadata=k.metadata()) for c, k in kinds.items()]), table.schema)
+    return Table(table.df.select(*[named(c).cast(k.spark).alias(c, metadata=k.metadata()) for c, k in kinds.items()]), table.schema)
 
 
 @dataclass
@@ -108,7 +107,7 @@ class ParquetTableStore:
         if schema not in self:
             return None
         df = self._session().read.option("recursiveFileLookup", "true").parquet(self.folder(schema))
-        return Table(df.select(*[tt.from_storage(named(c), k).alias(c, metadata=k.metadata()) for c, k in schema.types().items()]), schema)
+        return Table(df.select(*[named(c).cast(k.spark).alias(c, metadata=k.metadata()) for c, k in schema.types().items()]), schema)
 
     def write_table(self, table: Table) -> None:
         staged = f"{self.root.rstrip('/')}/_staging/{uuid.uuid4().hex}"

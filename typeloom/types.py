@@ -2,9 +2,9 @@
 
 A field is annotated with an alias (``Int64``, ``Array[String]``) or declared with a
 type string (``"timestamp(6)"``, ``"array<int64>"``). Types without a Spark
-counterpart (UUID, JSON) are strings that carry a tag in the field's metadata, and a
-codec turns Python values into stored ones and back. TIME exists in memory but not
-in Parquet, where it is stored as microseconds of the day.
+counterpart in every session (UUID, JSON, and TIME, which is off by default and not in
+Parquet) are strings that carry a tag in the field's metadata, and a codec turns
+Python values into stored ones and back.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from dataclasses import dataclass
 from decimal import Decimal as PyDecimal
 from typing import Any
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TAG = "typeloom.type"
@@ -49,6 +47,8 @@ class ColumnType:
         match self.name:
             case "uuid":
                 return str(uuid.UUID(str(value)))
+            case "time":
+                return value.isoformat("microseconds")
             case "json":
                 return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
             case "array":
@@ -70,6 +70,8 @@ class ColumnType:
         match self.name:
             case "uuid":
                 return uuid.UUID(value)
+            case "time":
+                return dt.time.fromisoformat(value)
             case "json":
                 return json.loads(value)
             case "array":
@@ -96,11 +98,10 @@ SIMPLE: dict[str, T.DataType] = {
     "binary": T.BinaryType(),
     "date": T.DateType(),
     "timestamp": T.TimestampNTZType(),
+    "time": T.StringType(),
     "uuid": T.StringType(),
     "json": T.StringType(),
 }
-if hasattr(T, "TimeType"):
-    SIMPLE["time"] = T.TimeType(6)
 DEFAULT_DECIMAL = (18, 3)
 
 
@@ -226,7 +227,7 @@ Int8, Int16, Int32, Int64 = (Alias(simple(f"int{n}")) for n in (8, 16, 32, 64))
 Float32, Float64 = Alias(simple("float32")), Alias(simple("float64"))
 Boolean, String, Binary = Alias(simple("boolean")), Alias(simple("string")), Alias(simple("binary"))
 Date, Timestamp, UUID, JSON = Alias(simple("date")), Alias(simple("timestamp")), Alias(simple("uuid")), Alias(simple("json"))
-Time = Alias(simple("time")) if "time" in SIMPLE else None
+Time = Alias(simple("time"))
 Decimal = Alias(decimal_of(*DEFAULT_DECIMAL))
 Array, Map, Struct = _ArrayAlias(), _MapAlias(), _StructAlias()
 
@@ -246,16 +247,3 @@ def declared_of(annotation: Any) -> ColumnType:
     if annotation in PYTHON:
         return PYTHON[annotation]
     raise KeyError(f"{annotation!r} is no column type")
-
-
-def to_storage(column: Column, declared: ColumnType) -> Column:
-    """A form that Parquet can hold."""
-    if declared.name == "time":
-        return (F.hour(column) * 3_600_000_000 + F.minute(column) * 60_000_000 + (F.second(column) * 1_000_000).cast("long")).cast("long")
-    return column
-
-
-def from_storage(column: Column, declared: ColumnType) -> Column:
-    if declared.name == "time":
-        return F.make_time((column / 3_600_000_000).cast("int"), (column / 60_000_000 % 60).cast("int"), ((column % 60_000_000) / 1_000_000).cast("decimal(16,6)"))
-    return column.cast(declared.spark)
