@@ -25,6 +25,7 @@ piece; an empty table gives an empty table.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -41,6 +42,12 @@ CAPACITY, END_ID = 4096, 1
 REMEMBERED, LONGEST = 300_000, 48
 #: Control characters that Python takes for white space and the tokenizer does not.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Words inside chunks that a worker remembers besides.
+WORDS = 200_000
+_PARTS = re.compile(r"[^\W\d_]+|[\W_]+|\d")
+#: The visible character that stands for each byte in byte-level vocabularies: its own where it has one, else the next from 256 on.
+_OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_VISIBLE = [chr(b) if b in _OWN else chr(256 + sum(x not in _OWN for x in range(b))) for b in range(256)]
 
 
 class ChunkTokenizer:
@@ -58,7 +65,9 @@ class ChunkTokenizer:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         probe = " Ab  c's\td1\nÉ ́x "
         self.chunked = self._whole(probe) == b"".join(map(self._whole, probe.split()))
-        self.letters_plain = self.chunked and all(self._whole(w.upper()) == self._model(w) for w in ("the", "thblein", "zq"))
+        self.letters_plain = self.chunked and all(self._whole(w.upper()) == self._model(w) for w in ("the", "thblein", "zq", "\u00e9t\u00e9\u00f1", "\u044f\u6f22"))
+        self.letters_plain = self.letters_plain and self._whole("a.b,,1\u00e9!") == b"".join(map(self._whole, ("a", ".", "b", ",,", "1", "\u00e9", "!")))
+        self.words: dict[str, bytes] = {}
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -66,15 +75,37 @@ class ChunkTokenizer:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _model(self, word: str) -> bytes:
+        """Ids of a word that is nothing but letters, straight from the merges."""
+        if not word.isascii():
+            word = "".join([_VISIBLE[b] for b in word.encode()])
         return b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(word)])
 
+    def _plain(self, chunk: str) -> bytes | None:
+        """Ids of a chunk of words and stops, where neither normalising nor an apostrophe has a say."""
+        if "'" in chunk or "\u03a3" in chunk or not chunk.isascii() and not unicodedata.is_normalized("NFC", chunk):
+            return None
+        low = chunk.lower()
+        if len(low) != len(chunk):
+            return None
+        if low.isalpha():
+            return self._model(low)
+        out, words = [], self.words
+        for part in _PARTS.findall(low):
+            if (found := words.get(part)) is None:
+                found = self._model(part) if part.isalpha() else self._whole(part)
+                if len(words) < WORDS and len(part) <= LONGEST:
+                    words[part] = found
+            out.append(found)
+        return b"".join(out)
+
     def _learn(self, chunks: list[str], into: dict[str, bytes]) -> None:
         rest = []
         for c in chunks:
-            if self.letters_plain and c.isascii() and c.isalpha():
-                into[c] = self._model(c.lower())  # neither normalising nor splitting changes such a word further
-            else:
+            found = self._plain(c) if self.letters_plain else None
+            if found is None:
                 rest.append(c)
+            else:
+                into[c] = found
         for c, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
             into[c] = np.array(found.ids, dtype="<u4").tobytes()
 
