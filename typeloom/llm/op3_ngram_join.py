@@ -23,7 +23,9 @@ document; every link between different sets is accounted for, none is sampled.
    do not fit, and those that are one component already. Pairs of leaves are
    compared exactly.
 4. *Large clusters* (beyond ``CLUSTER_SETS`` sets or ``CLUSTER_HASHES`` hashes) are
-   not given to one worker. All their sets are first compared with one pivot, the
+   not given to one worker. First their ties are looked at again, by bitmaps, within
+   each group of a key (``plausible_ties``), and those that fall apart are no longer
+   large. In those that are, all sets are first compared with one pivot, the
    set with most ties. Those that are similar to it are one component and need no
    comparison with each other; the rest is compared with all, dealt into pairs of
    chunks of bounded size. The links found go through ``components``.
@@ -52,6 +54,10 @@ from typeloom.llm.shingles import Shingler, U, mix, set_digest
 #: What a worker takes as one cluster.
 CLUSTER_SETS, CLUSTER_HASHES = 4096, 4 << 20
 LEAF = 8
+#: Members of clusters (40 bytes each) are broadcast to the sets up to so many.
+BROADCAST_MEMBERS = 400_000
+#: Bitmaps of the sets of large clusters are broadcast up to so many bytes.
+BROADCAST_SKETCHES = 48 << 20
 #: Digests that a task remembers so as to give keys of a class once.
 REMEMBERED = 200_000
 FIRST_DIGEST, SECOND_DIGEST = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179
@@ -237,6 +243,34 @@ def _runs(batches: Iterable[pa.RecordBatch], keys: list[str], names: list[str])
         yield now, held
 
 
+def _edges(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def plausible_pairs(rows: list[tuple[int, int, bytes]], num: int, den: int, most: int) -> list[tuple[int, int]]:
+    """Of rows (class, size, bitmap): links that connect all pairs whose bitmaps do not rule out the similarity."""
+    if len(rows) > most:
+        return [(rows[0][0], r[0]) for r in rows[1:]]
+    width = min(len(r[2]) for r in rows)
+    # a longer bitmap is folded: bit i of it is bit i modulo the shorter width
+    bits = np.stack([np.bitwise_or.reduce(np.frombuffer(r[2], dtype=U).reshape(-1, width // 8), axis=0) for r in rows])
+    sizes = np.array([r[1] for r in rows])
+    excess = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    parent = np.arange(len(rows))
+    out = []
+    for i in range(len(rows) - 1):
+        later = np.flatnonzero(parent[i + 1 :] != parent[i]) + i + 1
+        if not len(later):
+            continue
+        overlap = np.bitwise_count(bits[later] & bits[i]).sum(axis=1).astype(np.int64) + np.minimum(excess[later], excess[i])
+        for j in later[overlap * (num + den) >= num * (sizes[later] + sizes[i])].tolist():
+            if parent[j] != parent[i]:
+                parent[parent == parent[j]] = parent[i]
+                out.append((rows[i][0], rows[j][0]))
+    return out
+
+
 class Join:
     """One join: shingles of ``k`` words, similarity ``num / den``."""
 
@@ -264,7 +298,8 @@ class Join:
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.int32()), pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(ns, pa.int64()), pa.array(cls, pa.int64()), pa.array(second, pa.int64()), flat], ["id", "n", "cls", "second", "keys"])
 
-        return durable(map_arrow(docs, run, "id long, n long, cls long, second long, keys array<long>"), "signatures")
+        # rows get small numbers of their own, which the shuffle of keys compresses better than digests
+        return durable(map_arrow(docs, run, "id long, n long, cls long, second long, keys array<long>").withColumn("row", F.monotonically_increasing_id()), "signatures")
 
     def sets_of(self, docs: DataFrame, members: DataFrame, seed: int) -> DataFrame:
         """(cls, hashes) for the classes of ``members``; some other classes may come along, and a class once per task."""
@@ -290,11 +325,65 @@ class Join:
 
         return map_arrow(docs.select("text"), run, "cls long, hashes array<long>")
 
-    def candidate_ties(self, signatures: DataFrame) -> DataFrame:
-        """(a, b): classes that share a key, each with the least of its group."""
-        keyed = signatures.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "cls")
-        least = F.first("cls").over(Window.partitionBy("key").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return durable(keyed.select("cls", least.alias("a")).where("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "ties")
+    def candidate_ties(self, signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(key, row, first): rows that share a key, each with the least of its group; and (a, b): the same by class, once each."""
+        keyed = signatures.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "row")
+        least = F.first("row").over(Window.partitionBy("key").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        tied = durable(keyed.select("key", "row", least.alias("first")).where("first <> row"), "tied")
+        of_row = signatures.where(F.size("keys") > 0).select("row", "cls")
+        named = tied.select("row", "first").distinct().join(of_row.withColumnRenamed("cls", "b"), "row").select("first", "b").join(of_row.select(F.col("row").alias("first"), F.col("cls").alias("a")), "first")
+        return tied, durable(named.select("a", "b").where("a <> b").distinct(), "ties")
+
+    def plausible_ties(self, docs: DataFrame, signatures: DataFrame, tied: DataFrame, large: DataFrame, seed: int) -> DataFrame:
+        """(a, b) among the classes of ``large``: pairs that share a key and whose bitmaps allow the similarity.
+
+        Keys of few hashes can tie texts that share a passage, and such ties chain.
+        Each group of a key gets the bitmaps of its members, and ties are kept so
+        that all pairs with a sufficient possible overlap are connected. Groups of
+        more than ``CLUSTER_SETS`` keep their ties as they are.
+        """
+        k, num, den, most = self.k, self.num, self.den, self.cluster_sets
+        spark = docs.sparkSession
+        shared = spark.sparkContext.broadcast(membership_bitmap(large, "cls"))
+
+        def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s, seen = Shingler(k, seed), set()
+            for batch in slices(batches, "text"):
+                found = list(s.sets(column(batch, "text")))
+                cls = [set_digest(f, FIRST_DIGEST) for f in found]
+                hit = in_bitmap(shared.value, np.array(cls, dtype=np.int64))
+                out = []
+                for f, c, h in zip(found, cls, hit):
+                    if h and len(f) and c not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(c)
+                        width = min(1 << 16, max(256, 1 << (2 * len(f)).bit_length()))
+                        flags = np.zeros(width, dtype=bool)
+                        flags[(f & U(width - 1)).astype(np.int64)] = True
+                        out.append((c, len(f), np.packbits(flags, bitorder="little").tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["cls", "n", "bits"])
+
+        sketches = map_arrow(docs.select("text"), sketch, "cls long, n long, bits binary").dropDuplicates(["cls"]).join(large.select("cls"), "cls", "left_semi")
+        sketches = durable(sketches, "sketches")
+        small = (sketches.agg(F.sum(F.length("bits"))).first()[0] or 0) <= BROADCAST_SKETCHES
+        of_row = signatures.where(F.size("keys") > 0).select("row", "cls")
+        grouped = tied.select("key", "row").unionByName(tied.select("key", F.col("first").alias("row")).distinct()).join(of_row, "row").select("key", "cls").distinct()
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        dealt = grouped.join(F.broadcast(sketches) if small else sketches, "cls").repartition(parts, "key").sortWithinPartitions("key")
+
+        def connect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: set[tuple[int, int]] = set()
+            for _, rows in _runs(batches, ["key"], ["cls", "n", "bits"]):
+                kept.update(plausible_pairs(rows, num, den, most))
+                if len(kept) >= 100_000:
+                    yield _edges(kept)
+                    kept = set()
+            if kept:
+                yield _edges(kept)
+
+        return durable(map_arrow(dealt, connect, "a long, b long").distinct(), "plausible")
 
     def cluster_links(self, sets: DataFrame) -> DataFrame:
         """(cls, label) within clusters of bounded size: rows cluster, cls, hashes."""
@@ -308,7 +397,9 @@ class Join:
                 f.within(f.tree(list(range(len(cls)))))
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([cls[f.find(i)] for i in range(len(cls))], pa.int64())], ["cls", "label"])
 
-        dealt = sets.select("cluster", "cls", "hashes").repartition("cluster").sortWithinPartitions("cluster")
+        # a number of partitions is given, as their work is far more than their bytes tell
+        parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), sets.sparkSession.sparkContext.defaultParallelism)
+        dealt = sets.select("cluster", "cls", "hashes").repartition(parts, "cluster").sortWithinPartitions("cluster")
         return map_arrow(dealt, run, "cls long, label long")
 
     def large_links(self, sets: DataFrame, ties: DataFrame) -> DataFrame:
@@ -352,6 +443,13 @@ class Join:
         found = map_arrow(dealt, pairs, "a long, b long")
         return durable(met.where("near AND cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).unionByName(found), "links")
 
+    @staticmethod
+    def members(labels: DataFrame, classes: DataFrame) -> DataFrame:
+        """(cluster, cls, size, hash_total) from component labels."""
+        clusters = labels.select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+        totals = clusters.join(classes.select("cls", "n"), "cls").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("hash_total"))
+        return durable(clusters.join(totals, "cluster"), "members")
+
     def run(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_shingles, component_id for each row of ``docs``."""
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -362,13 +460,14 @@ class Join:
             if classes.where("s <> t").isEmpty():
                 break
             seed += 1  # two sets had one digest
-        ties = self.candidate_ties(signatures)
-        clusters = components(ties).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
-        sized = clusters.join(classes.select("cls", "n"), "cls")
-        totals = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("hash_total"))
-        members = durable(clusters.join(totals, "cluster"), "members")
-        sets = durable(self.sets_of(rows, members, seed).join(members, "cls"), "sets")
+        tied, ties = self.candidate_ties(signatures)
         large = (F.col("size") > self.cluster_sets) | (F.col("hash_total") > self.cluster_hashes)
+        members = self.members(components(ties), classes)
+        if not members.where(large).isEmpty():
+            kept = self.plausible_ties(rows, signatures, tied, members.where(large), seed)
+            members = durable(members.where(~large).unionByName(self.members(components(kept), classes)), "members")
+        few = members.count() <= BROADCAST_MEMBERS  # else Spark shuffles both sides
+        sets = durable(self.sets_of(rows, members, seed).join(F.broadcast(members) if few else members, "cls"), "sets")
         labels = self.cluster_links(sets.where(~large))
         if not members.where(large).isEmpty():
             labels = labels.unionByName(components(self.large_links(sets.where(large), ties)).select(F.col("node").alias("cls"), "label"))
