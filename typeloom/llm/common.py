@@ -36,7 +36,14 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/typeloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._typeloom_path = path
+    return made
+
+
+def release(made: DataFrame) -> None:
+    """Remove a table that ``durable`` wrote, once nothing will read it again."""
+    _remove(made.sparkSession, made._typeloom_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

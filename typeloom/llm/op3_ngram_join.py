@@ -14,8 +14,9 @@ document; every link between different sets is accounted for, none is sampled.
    brings the two together. Blocks hold hashes from all over the text, so texts
    that merely share a passage share no block. Sets with so many empty blocks that
    an equal one could be empty add keys for their empty blocks, which keeps this
-   exact. In each group of a key all classes are tied to the least; the components
-   of these ties are clusters, and similar sets are always in one cluster.
+   exact. Within each group of a key, bitmaps of the sets rule out pairs that cannot
+   be similar (texts that share a passage may share a key of few hashes); what is
+   left makes components, the clusters, and similar sets are always in one cluster.
 3. *Signature trees.* A worker takes one cluster. Its sets, in order of size, are
    the leaves of a tree whose nodes hold the OR of bitmaps of hashes and the range
    of sizes. A dual traversal goes through pairs of nodes and drops those whose
@@ -23,9 +24,7 @@ document; every link between different sets is accounted for, none is sampled.
    do not fit, and those that are one component already. Pairs of leaves are
    compared exactly.
 4. *Large clusters* (beyond ``CLUSTER_SETS`` sets or ``CLUSTER_HASHES`` hashes) are
-   not given to one worker. First their ties are looked at again, by bitmaps, within
-   each group of a key (``plausible_ties``), and those that fall apart are no longer
-   large. In those that are, all sets are first compared with one pivot, the
+   not given to one worker. All their sets are first compared with one pivot, the
    set with most ties. Those that are similar to it are one component and need no
    comparison with each other; the rest is compared with all, dealt into pairs of
    chunks of bounded size. The links found go through ``components``.
@@ -47,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import column, durable, in_bitmap, map_arrow, membership_bitmap, slices, table
+from typeloom.llm.common import column, durable, in_bitmap, map_arrow, membership_bitmap, release, slices, table
 from typeloom.llm.components import components
 from typeloom.llm.shingles import Shingler, U, mix, set_digest
 
@@ -325,26 +324,27 @@ class Join:
 
         return map_arrow(docs.select("text"), run, "cls long, hashes array<long>")
 
-    def candidate_ties(self, signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(key, row, first): rows that share a key, each with the least of its group; and (a, b): the same by class, once each."""
+    def candidate_ties(self, signatures: DataFrame) -> DataFrame:
+        """(key, row, first): rows that share a key, each with the least of its group."""
         keyed = signatures.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "row")
         least = F.first("row").over(Window.partitionBy("key").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        tied = durable(keyed.select("key", "row", least.alias("first")).where("first <> row"), "tied")
-        of_row = signatures.where(F.size("keys") > 0).select("row", "cls")
-        named = tied.select("row", "first").distinct().join(of_row.withColumnRenamed("cls", "b"), "row").select("first", "b").join(of_row.select(F.col("row").alias("first"), F.col("cls").alias("a")), "first")
-        return tied, durable(named.select("a", "b").where("a <> b").distinct(), "ties")
+        return durable(keyed.select("key", "row", least.alias("first")).where("first <> row"), "tied")
 
-    def plausible_ties(self, docs: DataFrame, signatures: DataFrame, tied: DataFrame, large: DataFrame, seed: int) -> DataFrame:
-        """(a, b) among the classes of ``large``: pairs that share a key and whose bitmaps allow the similarity.
+    def plausible_ties(self, docs: DataFrame, signatures: DataFrame, tied: DataFrame, seed: int) -> DataFrame:
+        """(a, b): classes that share a key and whose bitmaps allow the similarity; enough pairs to connect all such.
 
         Keys of few hashes can tie texts that share a passage, and such ties chain.
-        Each group of a key gets the bitmaps of its members, and ties are kept so
-        that all pairs with a sufficient possible overlap are connected. Groups of
-        more than ``CLUSTER_SETS`` keep their ties as they are.
+        Each group of a key gets the bitmaps of its members, and pairs are given so
+        that all with a sufficient possible overlap are connected. Groups of more
+        than ``CLUSTER_SETS`` are tied to one member as they are.
         """
         k, num, den, most = self.k, self.num, self.den, self.cluster_sets
         spark = docs.sparkSession
-        shared = spark.sparkContext.broadcast(membership_bitmap(large, "cls"))
+        of_row = signatures.where("keyed").select("row", "cls")
+        members = tied.select("key", "row").unionByName(tied.select("key", F.col("first").alias("row")).distinct())
+        grouped = durable(members.join(of_row, "row").select("key", "cls").distinct(), "grouped")
+        classes = durable(grouped.select("cls").distinct(), "tied_classes")
+        shared = spark.sparkContext.broadcast(membership_bitmap(classes, "cls"))
 
         def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, seen = Shingler(k, seed), set()
@@ -365,11 +365,9 @@ class Join:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["cls", "n", "bits"])
 
-        sketches = map_arrow(docs.select("text"), sketch, "cls long, n long, bits binary").dropDuplicates(["cls"]).join(large.select("cls"), "cls", "left_semi")
+        sketches = map_arrow(docs.select("text"), sketch, "cls long, n long, bits binary").dropDuplicates(["cls"]).join(classes, "cls", "left_semi")
         sketches = durable(sketches, "sketches")
         small = (sketches.agg(F.sum(F.length("bits"))).first()[0] or 0) <= BROADCAST_SKETCHES
-        of_row = signatures.where(F.size("keys") > 0).select("row", "cls")
-        grouped = tied.select("key", "row").unionByName(tied.select("key", F.col("first").alias("row")).distinct()).join(of_row, "row").select("key", "cls").distinct()
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         dealt = grouped.join(F.broadcast(sketches) if small else sketches, "cls").repartition(parts, "key").sortWithinPartitions("key")
 
@@ -460,12 +458,12 @@ class Join:
             if classes.where("s <> t").isEmpty():
                 break
             seed += 1  # two sets had one digest
-        tied, ties = self.candidate_ties(signatures)
-        large = (F.col("size") > self.cluster_sets) | (F.col("hash_total") > self.cluster_hashes)
+        tied = self.candidate_ties(signatures)
+        keyed, signatures = signatures, durable(signatures.select("id", "n", "cls", "row", (F.size("keys") > 0).alias("keyed")), "classed")
+        release(keyed)  # the keys are large, and done with
+        ties = self.plausible_ties(rows, signatures, tied, seed)
         members = self.members(components(ties), classes)
-        if not members.where(large).isEmpty():
-            kept = self.plausible_ties(rows, signatures, tied, members.where(large), seed)
-            members = durable(members.where(~large).unionByName(self.members(components(kept), classes)), "members")
+        large = (F.col("size") > self.cluster_sets) | (F.col("hash_total") > self.cluster_hashes)
         few = members.count() <= BROADCAST_MEMBERS  # else Spark shuffles both sides
         sets = durable(self.sets_of(rows, members, seed).join(F.broadcast(members) if few else members, "cls"), "sets")
         labels = self.cluster_links(sets.where(~large))
