@@ -65,14 +65,16 @@ def normal(unit: str) -> str:
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the spans. A span that was whole lines takes its line feed along."""
-    out, at = [], 0
+    out, at, n = [], 0, len(text)
     for begin, end in spans:
-        line_begins = begin == 0 or text[:begin].rstrip(" \t").endswith("\n") or not text[:begin].strip()
-        rest = text[end:]
-        blank = len(rest) - len(rest.lstrip(" \t"))
-        if line_begins and rest[blank : blank + 1] == "\n":
-            end += blank + 1
-        elif rest[:1] in (" ", "\t") and (begin == 0 or text[begin - 1].isspace()):
+        i, j = begin, end
+        while i and text[i - 1] in " \t":
+            i -= 1
+        while j < n and text[j] in " \t":
+            j += 1
+        if (not i or text[i - 1] == "\n") and j < n and text[j] == "\n":
+            end = j + 1
+        elif end < n and text[end] in " \t" and (not begin or text[begin - 1].isspace()):
             end += 1
         out.append(text[at:max(at, begin)])
         at = max(at, end)
