@@ -325,6 +325,52 @@ def q_any_inner_join(t: Tables) -> DataFrame:
     return join(t.customer.select("c_custkey"), _eleventh(t, "o_orderkey"), keys=["c_custkey"], how=JoinMethod.ANY_INNER)
 
 
+# The same joins over whole tables: keys without a match are those that the tables do not share by nature
+
+
+def _user_events(t: Tables, *names: str) -> DataFrame:
+    return t.events.select(F.col("user_id").alias("c_custkey"), *names)
+
+
+@query("SELECT c_custkey, c_name, event_id FROM customer LEFT JOIN events ON c_custkey=user_id")
+def q_left_join_whole(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", "c_name") @ LeftJoin(_user_events(t, "event_id"), keys=["c_custkey"])
+
+
+@query("SELECT coalesce(a.k,b.k) AS k, a.orders, b.lines FROM (SELECT CAST(o_orderdate AS DATE) AS k, CAST(count(*) AS BIGINT) AS orders FROM orders GROUP BY 1) a FULL JOIN (SELECT CAST(l_shipdate AS DATE) AS k, CAST(count(*) AS BIGINT) AS lines FROM lineitem GROUP BY 1) b ON a.k=b.k")
+def q_outer_join_whole(t: Tables) -> DataFrame:
+    a = select(t.orders, {"k": this.o_orderdate.cast("date")}) @ Aggregate(by=["k"], expr={"orders": this.count()})
+    b = select(t.lineitem, {"k": this.l_shipdate.cast("date")}) @ Aggregate(by=["k"], expr={"lines": this.count()})
+    return a @ OuterJoin(b, keys=["k"])
+
+
+@query("SELECT k, max(a) AS a, max(b) AS b, max(c) AS c, max(d) AS d FROM (SELECT n_nationkey AS k, n_name AS a, NULL AS b, NULL AS c, NULL AS d FROM nation UNION ALL SELECT s_suppkey, NULL, s_name, NULL, NULL FROM supplier UNION ALL SELECT c_custkey, NULL, NULL, c_name, NULL FROM customer UNION ALL SELECT p_partkey, NULL, NULL, NULL, p_name FROM part) u GROUP BY k")
+def q_outer_join_parallel_whole(t: Tables) -> DataFrame:
+    named = [(t.nation, "n_nationkey", "n_name"), (t.supplier, "s_suppkey", "s_name"), (t.customer, "c_custkey", "c_name"), (t.part, "p_partkey", "p_name")]
+    parts = [select(table, {"k": this[key].cast("bigint"), n: this[name]}) for n, (table, key, name) in zip("abcd", named)]
+    return parts[0] @ OuterJoinParallel(*parts[1:], keys=["k"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id=c_custkey)")
+def q_anti_join_whole(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", "c_name") @ AntiJoin(_user_events(t), keys=["c_custkey"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM events WHERE user_id=c_custkey)")
+def q_semi_join_whole(t: Tables) -> DataFrame:
+    return join(t.customer.select("c_custkey", "c_name"), _user_events(t), keys=["c_custkey"], how=JoinMethod.SEMI)
+
+
+@query("SELECT c_custkey, m.event_id FROM customer LEFT JOIN (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1) m ON c_custkey=m.user_id")
+def q_any_left_join_whole(t: Tables) -> DataFrame:
+    return join(t.customer.select("c_custkey"), _user_events(t, "event_id"), keys=["c_custkey"], how=JoinMethod.ANY_LEFT)
+
+
+@query("SELECT c_custkey, m.event_id FROM customer JOIN (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1) m ON c_custkey=m.user_id")
+def q_any_inner_join_whole(t: Tables) -> DataFrame:
+    return join(t.customer.select("c_custkey"), _user_events(t, "event_id"), keys=["c_custkey"], how=JoinMethod.ANY_INNER)
+
+
 @query("SELECT n_nationkey, TIMESTAMP '2025-01-01' AS \"timestamp\" FROM nation")
 def q_timestamp_join(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey") @ InnerJoin(TimestampNow.as_of(T0, t.spark))
@@ -583,6 +629,21 @@ def q_bucketed_inputs(t: Tables) -> DataFrame:
     return from_expression(OrderKeyBuckets @ AsBucketedInputs(), OrderKeyBuckets.of(buckets.distinct()), _keys(t)).df
 
 
+@query("SELECT o_custkey, max(l_shipdate) AS updated_at FROM orders JOIN lineitem ON o_orderkey=l_orderkey GROUP BY 1 HAVING max(l_shipdate) > (SELECT max(o_orderdate) FROM orders)")
+def q_incremented_buckets_whole(t: Tables) -> DataFrame:
+    lines = select(t.lineitem, {"o_orderkey": this.l_orderkey, "updated_at": this.l_shipdate})
+    shipped = t.orders.select("o_orderkey", "o_custkey") @ InnerJoin(lines, keys=["o_orderkey"]) @ Aggregate(by=["o_custkey"], max=["updated_at"])
+    target = select(t.orders, {"updated_at": this.o_orderdate})
+    return as_incremented_buckets(CustomerUpdates.of(shipped), Table(target, CustomerUpdates)).df
+
+
+@query("SELECT c_custkey AS o_custkey, TIMESTAMP '2025-01-02' AS checksum_updated_at, event_id AS o_orderkey FROM customer LEFT JOIN events ON c_custkey=user_id")
+def q_bucketed_inputs_whole(t: Tables) -> DataFrame:
+    buckets = select(t.customer, {"o_custkey": this.c_custkey, "checksum_updated_at": F.lit(T1).cast("timestamp_ntz"), "checksum": F.lit(1).cast("bigint")})
+    inputs = select(t.events, {"o_custkey": this.user_id, "o_orderkey": this.event_id})
+    return from_expression(OrderKeyBuckets @ AsBucketedInputs(), OrderKeyBuckets.of(buckets.distinct()), OrderKeys.of(inputs)).df
+
+
 @query("WITH t0 AS (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, bit_xor(hash(o_orderkey)) AS c FROM orders WHERE o_orderkey%10<>0 GROUP BY 1), t1 AS (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, bit_xor(hash(o_orderkey)) AS c FROM orders GROUP BY 1) SELECT t1.o_custkey, CASE WHEN t0.c IS NOT DISTINCT FROM t1.c THEN TIMESTAMP '2025-01-01' ELSE TIMESTAMP '2025-01-02' END AS checksum_updated_at, CASE WHEN t0.c IS NOT DISTINCT FROM t1.c THEN t0.n ELSE t1.n END AS n FROM t1 LEFT JOIN t0 ON t1.o_custkey=t0.o_custkey")
 def q_incremental_merge(t: Tables) -> DataFrame:
     before, at0 = _keys(t, this.o_orderkey % 10 != 0), TimestampNow.as_of(T0, t.spark)
