@@ -222,6 +222,13 @@ def test_substring_dedup(spark, odd):
     assert op4.dedup(empty(spark)).count() == 0
 
 
+def test_substring_dedup_takes_short_lines_at_any_length(spark):
+    rows = [(i, f"{prose(40 + i, 30)}\nRead the terms. Now.\n{prose(80 + i, 30)}", "en", "a") for i in range(4)] + [(9, "Inside: Read the terms. Now. " + prose(99, 30), "en", "a"), (10, "x y\nz\nx  Y\nz", "en", "a")]
+    texts = {r.doc_id: r.text for r in op4.dedup(docs_of(spark, rows)).collect()}
+    assert texts[0] == rows[0][1] and all(texts[i] == f"{prose(40 + i, 30)}\n{prose(80 + i, 30)}" for i in (1, 2, 3))
+    assert texts[9] == rows[9 - 5][1] and texts[10] == "x y\nz\n"  # a short part of a line stays, and so does a first line
+
+
 # 5
 
 

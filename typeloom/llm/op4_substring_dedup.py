@@ -8,9 +8,10 @@ folded, white space to one blank, trimmed) and hashed with 128-bit xxhash.
 
 Occurrences of equal digests are ranked by document id and place, and the first
 stays. Runs of units that are not first (nothing but white space between them) are
-removed if they have ``MIN_WORDS`` words or more together; shorter ones, such as
-stock phrases of a few words, stay everywhere. What is removed is told as offsets
-(code points) into the original text.
+removed if they have ``MIN_WORDS`` words or more together. Lines are hashed whole as
+well, and a line that is not the first of its kind is removed at any length; what
+stays everywhere are shorter runs that are part of a line. What is removed is told
+as offsets (code points) into the original text.
 
 One pass gives each digest once per document to an aggregation that is combined
 before the shuffle, so a line that a third of all documents have makes one row per
@@ -43,6 +44,7 @@ from typeloom.llm.common import column, durable, in_bitmap, map_arrow, membershi
 MIN_WORDS = 20
 _UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?![\"'”’»)\]]*(?:\s|\Z))[^\n.!?]*)*(?:[.!?]+[\"'”’»)\]]*|(?=\n|\Z))")
 LAST = (1 << 63) - 1
+LINE, LINE_SEED = -1, 1
 
 
 def units(text: str) -> Iterator[tuple[int, int, str]]:
@@ -82,13 +84,51 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-def _keyed(text: str) -> list[tuple[int, int, int, int, int]]:
-    """Begin, end, words, and the two halves of the digest, of each unit."""
-    out = []
-    for begin, end, form in units(text):
-        d = xxhash.xxh3_128_intdigest(form.encode("utf-8", "surrogatepass"))
-        out.append((begin, end, form.count(" ") + 1, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
-    return out
+def lines(text: str) -> Iterator[tuple[int, int, str]]:
+    """Begin, end and normalised form of each line that has a word."""
+    at = 0
+    for raw in text.split("\n"):
+        if form := normal(raw):
+            yield at + len(raw) - len(raw.lstrip()), at + len(raw.rstrip()), form
+        at += len(raw) + 1
+
+
+def _digest(form: str, seed: int = 0) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(form.encode("utf-8", "surrogatepass"), seed)
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+
+
+def _keyed(text: str) -> list[tuple[int, int, int, int, int, int]]:
+    """Begin, end, words, the two halves of the digest, and number, of each unit, and of each line with the number LINE."""
+    out = [(begin, end, form.count(" ") + 1, *_digest(form), k) for k, (begin, end, form) in enumerate(units(text))]
+    return out + [(begin, end, form.count(" ") + 1, *_digest(form, LINE_SEED), LINE) for begin, end, form in lines(text)]
+
+
+def spans_of(found: Iterable[tuple[int, int, int, int]], min_words: int) -> list[tuple[int, int, int]]:
+    """Begin, end and words of what goes, from (number, begin, end, words) of the later units and lines of a document."""
+    runs: list[list[int]] = []
+    whole = []
+    before = None
+    for k, begin, end, words in sorted(found):
+        if k == LINE:
+            whole.append([begin, end, words])
+        elif before is not None and k == before + 1:
+            runs[-1][1] = end
+            runs[-1][2] += words
+            before = k
+        else:
+            runs.append([begin, end, words])
+            before = k
+    out: list[list[int]] = []
+    for begin, end, words in sorted([*(x for x in runs if x[2] >= min_words), *whole], key=lambda x: (x[0], -x[1])):
+        if out and end <= out[-1][1]:
+            continue
+        if out and begin < out[-1][1]:  # white space or stops that only normalising makes equal
+            out[-1][1] = end
+            out[-1][2] = max(out[-1][2], words)
+        else:
+            out.append([begin, end, words])
+    return [tuple(x) for x in out]
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +140,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
             out: list[tuple] = []
             for doc, mark, text in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text_hash", "text"))):
                 own: dict[tuple[int, int], list[int]] = {}
-                for begin, _, _, high, low in _keyed(text):
+                for begin, _, _, high, low, _ in _keyed(text):
                     own.setdefault((high, low), [begin, 0])[1] += 1
                 out += [(high, low, doc, mark, begin, n) for (high, low), (begin, n) in own.items()]
             if out:
@@ -118,7 +158,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
                 own = _keyed(text)
                 if own:
                     hit = in_bitmap(shared.value, np.array([u[4] for u in own], dtype=np.int64))
-                    out += [(u[3], u[4], doc, mark, u[0], u[1], u[2], k) for k, u in enumerate(own) if hit[k]]
+                    out += [(u[3], u[4], doc, mark, u[0], u[1], u[2], u[5]) for k, u in enumerate(own) if hit[k]]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["high", "low", "doc_id", "text_hash", "begin", "end", "words", "unit"])
 
@@ -130,16 +170,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
         for batch in batches:
             out = []
             for doc, mark, found in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text_hash", "units"))):
-                spans: list[list[int]] = []
-                before = None
-                for u in sorted(found, key=lambda u: u["unit"]):
-                    if before is not None and u["unit"] == before + 1:
-                        spans[-1][1] = u["end"]
-                        spans[-1][2] += u["words"]
-                    else:
-                        spans.append([u["begin"], u["end"], u["words"]])
-                    before = u["unit"]
-                if spans := [{"begin": b, "end": e, "words": w} for b, e, w in spans if w >= min_words]:
+                spans = spans_of(((u["unit"], u["begin"], u["end"], u["words"]) for u in found), min_words)
+                if spans := [{"begin": b, "end": e, "words": w} for b, e, w in spans]:
                     out.append((doc, mark, spans))
             if out:
                 kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
