@@ -229,6 +229,25 @@ def test_substring_dedup_takes_short_lines_at_any_length(spark):
     assert texts[9] == rows[9 - 5][1] and texts[10] == "x y\nz\n"  # a short part of a line stays, and so does a first line
 
 
+def test_substring_dedup_finds_passages_inside_sentences(spark):
+    bare = lambda seed, n: prose(seed, n).replace(".", "")
+    passage, stops = bare(200, 60), prose(201, 60)
+    rows = [(i, f"{bare(210 + i, 30 + i)} {p} {bare(220 + i, 20 + i)}", "en", "a") for i, p in enumerate([passage, passage, stops[3:], stops[3:]])] + [(8, bare(230, 400), "en", "a")]
+    found = {r.doc_id: r for r in op4.dedup(docs_of(spark, rows)).collect()}
+    assert found[0].text == rows[0][1] and found[2].text == rows[2][1] and found[8].text == rows[4][1]
+    for i, p in ((1, passage), (3, stops[3:])):
+        (span,) = found[i].removed
+        assert span.begin >= rows[i][1].index(p) and span.end <= rows[i][1].index(p) + len(p)
+        assert len(p.split()) - 2 * 9 <= span.words == len(rows[i][1][span.begin : span.end].split())
+
+
+@given(st.lists(st.integers(0, 5), max_size=60))
+def test_cuts_are_the_least_of_each_window(hashes):
+    w = op4.WINDOW
+    windows = [range(i, i + w) for i in range(len(hashes) - w + 1)]
+    assert op4.cuts(hashes) == sorted({min(r, key=lambda k: (hashes[k], -k)) for r in windows})
+
+
 # 5
 
 

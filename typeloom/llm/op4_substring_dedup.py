@@ -2,16 +2,22 @@
 
 A unit is a sentence of a line: lines end at line feeds, and a sentence ends behind
 ``.``, ``!`` or ``?`` (with closing quotes or brackets) where white space follows.
+A sentence of more than ``WINDOW`` words is cut further at places that its words
+choose: before the word with the least hash of each window of ``WINDOW`` words
+(winnowing), so units have ``WINDOW`` words at most, and a passage has the same cuts
+wherever it stands but for its two edges, whatever surrounds it.
 A whole line is thus a run of units, and a passage that was put into the middle of
-a line is a run as well. Units are normalised (Unicode compatibility form, case
-folded, white space to one blank, trimmed) and hashed with 128-bit xxhash.
+a line or of a sentence is a run as well, without the words before its first cut and
+behind its last: ``WINDOW`` words on a side at most. Units are normalised (Unicode
+compatibility form, case folded, white space to one blank, trimmed) and hashed with
+128-bit xxhash.
 
 Occurrences of equal digests are ranked by document id and place, and the first
 stays. Runs of units that are not first (nothing but white space between them) are
 removed if they have ``MIN_WORDS`` words or more together. Lines are hashed whole as
 well, and a line that is not the first of its kind is removed at any length; what
-stays everywhere are shorter runs that are part of a line. What is removed is told
-as offsets (code points) into the original text.
+stays everywhere are shorter runs that are part of a line, and the edges above. What
+is removed is told as offsets (code points) into the original text.
 
 One pass gives each digest once per document to an aggregation that is combined
 before the shuffle, so a line that a third of all documents have makes one row per
@@ -31,6 +37,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,7 +49,10 @@ from pyspark.sql import functions as F
 from typeloom.llm.common import column, durable, in_bitmap, map_arrow, membership_bitmap, slices, table
 
 MIN_WORDS = 20
+#: Words of a window in which the least hash makes a cut.
+WINDOW = 8
 _UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?![\"'”’»)\]]*(?:\s|\Z))[^\n.!?]*)*(?:[.!?]+[\"'”’»)\]]*|(?=\n|\Z))")
+_WORD = re.compile(r"\S+")
 LAST = (1 << 63) - 1
 LINE, LINE_SEED = -1, 1
 
@@ -55,10 +65,39 @@ def units(text: str) -> Iterator[tuple[int, int, str]]:
         end = m.end() if m and m.end() > at else at + 1
         raw = text[at:end]
         if form := normal(raw):
-            yield at + len(raw) - len(raw.lstrip()), at + len(raw.rstrip()), form
+            begin = at + len(raw) - len(raw.lstrip())
+            if form.count(" ") < WINDOW:
+                yield begin, at + len(raw.rstrip()), form
+            else:
+                yield from pieces(raw.strip(), begin)
         at = end
 
 
+def pieces(sentence: str, at: int) -> Iterator[tuple[int, int, str]]:
+    """The units of a long sentence that begins at ``at``."""
+    places = [m.span() for m in _WORD.finditer(sentence)]
+    words = [normal(sentence[b:e]) for b, e in places]
+    first = 0
+    for k in [*cuts([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]), len(words)]:
+        if k > first:
+            yield at + places[first][0], at + places[k - 1][1], " ".join(words[first:k])
+            first = k
+
+
+def cuts(hashes: list[int]) -> list[int]:
+    """The rightmost place of the least hash of each window, without repeats."""
+    out: list[int] = []
+    best = -1
+    for end in range(WINDOW, len(hashes) + 1):
+        if best < end - WINDOW:
+            best = min(range(end - WINDOW, end), key=lambda k: (hashes[k], -k))
+        elif hashes[end - 1] <= hashes[best]:
+            best = end - 1
+        if not out or out[-1] != best:
+            out.append(best)
+    return out
+
+
 def normal(unit: str) -> str:
     if not unit.isascii():
         unit = unicodedata.normalize("NFKC", unit)
