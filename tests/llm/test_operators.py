@@ -241,6 +241,24 @@ def test_substring_dedup_finds_passages_inside_sentences(spark):
         assert len(p.split()) - 2 * 9 <= span.words == len(rows[i][1][span.begin : span.end].split())
 
 
+def test_substring_dedup_of_scripts_without_blanks(spark):
+    def script(seed, n, first, stop=""):
+        r = random.Random(seed)
+        return "".join(chr(first + r.randint(0, 40)) + (stop if i % 15 == 14 else "") for i in range(n))
+
+    assert [t for _, _, t in op4.units("你好。再见！「好。」完")] == ["你好。", "再见!", "「好。」", "完"]
+    rows, passages = [], []
+    for k, (first, stop) in enumerate([(0x4E00, "。"), (0x4E00, ""), (0x3041, "。"), (0x0E01, "")]):
+        passages.append(script(300 + k, 105, first, stop))
+        rows += [(10 * k + i, script(310 + 10 * k + i, 33, first) + passages[k] + script(350 + 10 * k + i, 27, first), "zh", "a") for i in range(2)]
+    found = {r.doc_id: r for r in op4.dedup(docs_of(spark, rows)).collect()}
+    for k, passage in enumerate(passages):
+        text = rows[2 * k + 1][1]
+        assert found[10 * k].text == rows[2 * k][1]
+        (span,) = found[10 * k + 1].removed
+        assert text.index(passage) <= span.begin <= text.index(passage) + 9 and text.index(passage) + len(passage) - 9 <= span.end <= text.index(passage) + len(passage)
+
+
 @given(st.lists(st.integers(0, 5), max_size=60))
 def test_cuts_are_the_least_of_each_window(hashes):
     w = op4.WINDOW

@@ -1,7 +1,9 @@
 """Removal of passages that stand elsewhere already, by hashing of units.
 
 A unit is a sentence of a line: lines end at line feeds, and a sentence ends behind
-``.``, ``!`` or ``?`` (with closing quotes or brackets) where white space follows.
+``.``, ``!`` or ``?`` (with closing quotes or brackets) where white space follows, or
+behind a full-width stop, whatever follows. In scripts without blanks between words
+(Han, kana, Thai, Lao, Khmer, Burmese) a letter counts as a word where units are cut.
 A sentence of more than ``WINDOW`` words is cut further at places that its words
 choose: before the word with the least hash of each window of ``WINDOW`` words
 (winnowing), so units have ``WINDOW`` words at most, and a passage has the same cuts
@@ -14,10 +16,12 @@ compatibility form, case folded, white space to one blank, trimmed) and hashed w
 
 Occurrences of equal digests are ranked by document id and place, and the first
 stays. Runs of units that are not first (nothing but white space between them) are
-removed if they have ``MIN_WORDS`` words or more together. Lines are hashed whole as
-well, and a line that is not the first of its kind is removed at any length; what
-stays everywhere are shorter runs that are part of a line, and the edges above. What
-is removed is told as offsets (code points) into the original text.
+removed if they have ``MIN_WORDS`` words or more together, where ``LETTERS_PER_WORD``
+letters of scripts without blanks count as one. Lines are hashed whole as well, and a
+line that is not the first of its kind is removed at any length; what stays everywhere
+are shorter runs that are part of a line, and the edges above. What is removed is told
+as offsets (code points) into the original text; ``words`` there are those between
+white space.
 
 One pass gives each digest once per document to an aggregation that is combined
 before the shuffle, so a line that a third of all documents have makes one row per
@@ -49,10 +53,18 @@ from pyspark.sql import functions as F
 from typeloom.llm.common import column, durable, in_bitmap, map_arrow, membership_bitmap, slices, table
 
 MIN_WORDS = 20
+#: Letters of scripts without blanks that count as a word where runs are measured.
+LETTERS_PER_WORD = 2
 #: Words of a window in which the least hash makes a cut.
 WINDOW = 8
-_UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?![\"'”’»)\]]*(?:\s|\Z))[^\n.!?]*)*(?:[.!?]+[\"'”’»)\]]*|(?=\n|\Z))")
-_WORD = re.compile(r"\S+")
+_STOPS, _CLOSERS = "。！？．｡", "[\"'”’»)\\]」』）》】〉]*"
+_UNIT = re.compile(rf"[^\n.!?{_STOPS}]*(?:[.!?]+(?!{_CLOSERS}(?:\s|\Z))[^\n.!?{_STOPS}]*)*(?:[.!?]*[{_STOPS}][.!?{_STOPS}]*{_CLOSERS}|[.!?]+{_CLOSERS}|(?=\n|\Z))")
+#: A letter of a script without blanks, with the marks that belong to it.
+_LETTER = r"[\u0e01-\u0e30\u0e32\u0e33\u0e40-\u0e46\u0e81-\u0eb0\u0eb2\u0eb3\u0ebd-\u0ec6\u1000-\u102a\u103f\u1050-\u1055\u1780-\u17b3\u3005-\u3007\u3041-\u3096\u309d-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]"
+_MARKS = r"[\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1\u0eb4-\u0ebc\u0ec8-\u0ecd\u102b-\u103e\u1056-\u1059\u17b4-\u17d3\u3099-\u309c\uff9e\uff9f\ufe00-\ufe0f]*"
+_SPACELESS = re.compile(_LETTER)
+_WORD = re.compile(rf"{_LETTER}{_MARKS}|(?:(?!{_LETTER})\S)+")
+_BLANKLESS = re.compile(r"\S+")
 LAST = (1 << 63) - 1
 LINE, LINE_SEED = -1, 1
 
@@ -66,21 +78,25 @@ def units(text: str) -> Iterator[tuple[int, int, str]]:
         raw = text[at:end]
         if form := normal(raw):
             begin = at + len(raw) - len(raw.lstrip())
-            if form.count(" ") < WINDOW:
-                yield begin, at + len(raw.rstrip()), form
-            else:
-                yield from pieces(raw.strip(), begin)
+            yield from pieces(raw.strip(), begin, form)
         at = end
 
 
-def pieces(sentence: str, at: int) -> Iterator[tuple[int, int, str]]:
-    """The units of a long sentence that begins at ``at``."""
-    places = [m.span() for m in _WORD.finditer(sentence)]
-    words = [normal(sentence[b:e]) for b, e in places]
+def pieces(sentence: str, at: int, form: str) -> Iterator[tuple[int, int, str]]:
+    """The units of a sentence that begins at ``at`` and has the normalised form ``form``."""
+    spaceless = not sentence.isascii() and _SPACELESS.search(sentence)
+    if not spaceless and form.count(" ") < WINDOW:
+        yield at, at + len(sentence), form
+        return
+    places = [m.span() for m in (_WORD if spaceless else _BLANKLESS).finditer(sentence)]
+    words = form.split(" ") if sentence.isascii() else [normal(sentence[b:e]) for b, e in places]
     first = 0
-    for k in [*cuts([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]), len(words)]:
+    inside = cuts([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]) if len(words) > WINDOW else []
+    for k in [*inside, len(places)]:
         if k > first:
-            yield at + places[first][0], at + places[k - 1][1], " ".join(words[first:k])
+            begin, end = places[first][0], places[k - 1][1]
+            if piece := normal(sentence[begin:end]):
+                yield at + begin, at + end, piece
             first = k
 
 
@@ -137,29 +153,33 @@ def _digest(form: str, seed: int = 0) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
-def _keyed(text: str) -> list[tuple[int, int, int, int, int, int]]:
-    """Begin, end, words, the two halves of the digest, and number, of each unit, and of each line with the number LINE."""
-    out = [(begin, end, form.count(" ") + 1, *_digest(form), k) for k, (begin, end, form) in enumerate(units(text))]
-    return out + [(begin, end, form.count(" ") + 1, *_digest(form, LINE_SEED), LINE) for begin, end, form in lines(text)]
+def _keyed(text: str) -> list[tuple[int, int, int, int, int, int, int]]:
+    """Begin, end, words, the two halves of the digest, number, and letters of scripts without blanks, of each unit, and of each line with the number LINE."""
+    out = []
+    for k, (begin, end, form) in enumerate(units(text)):
+        letters = 0 if form.isascii() else len(_SPACELESS.findall(form))
+        out.append((begin, end, form.count(" ") + (not begin or text[begin - 1].isspace()), *_digest(form), k, letters))
+    return out + [(begin, end, form.count(" ") + 1, *_digest(form, LINE_SEED), LINE, 0) for begin, end, form in lines(text)]
 
 
-def spans_of(found: Iterable[tuple[int, int, int, int]], min_words: int) -> list[tuple[int, int, int]]:
-    """Begin, end and words of what goes, from (number, begin, end, words) of the later units and lines of a document."""
+def spans_of(found: Iterable[tuple[int, int, int, int, int]], min_words: int) -> list[tuple[int, int, int]]:
+    """Begin, end and words of what goes, from (number, begin, end, words, letters) of the later units and lines of a document."""
     runs: list[list[int]] = []
     whole = []
     before = None
-    for k, begin, end, words in sorted(found):
+    for k, begin, end, words, letters in sorted(found):
         if k == LINE:
             whole.append([begin, end, words])
         elif before is not None and k == before + 1:
             runs[-1][1] = end
             runs[-1][2] += words
+            runs[-1][3] += letters
             before = k
         else:
-            runs.append([begin, end, words])
+            runs.append([begin, end, words, letters])
             before = k
     out: list[list[int]] = []
-    for begin, end, words in sorted([*(x for x in runs if x[2] >= min_words), *whole], key=lambda x: (x[0], -x[1])):
+    for begin, end, words in sorted([*([b, e, max(1, w)] for b, e, w, n in runs if w + n // LETTERS_PER_WORD >= min_words), *whole], key=lambda x: (x[0], -x[1])):
         if out and end <= out[-1][1]:
             continue
         if out and begin < out[-1][1]:  # white space or stops that only normalising makes equal
@@ -179,7 +199,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
             out: list[tuple] = []
             for doc, mark, text in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text_hash", "text"))):
                 own: dict[tuple[int, int], list[int]] = {}
-                for begin, _, _, high, low, _ in _keyed(text):
+                for begin, _, _, high, low, _, _ in _keyed(text):
                     own.setdefault((high, low), [begin, 0])[1] += 1
                 out += [(high, low, doc, mark, begin, n) for (high, low), (begin, n) in own.items()]
             if out:
@@ -197,19 +217,19 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
                 own = _keyed(text)
                 if own:
                     hit = in_bitmap(shared.value, np.array([u[4] for u in own], dtype=np.int64))
-                    out += [(u[3], u[4], doc, mark, u[0], u[1], u[2], u[5]) for k, u in enumerate(own) if hit[k]]
+                    out += [(u[3], u[4], doc, mark, u[0], u[1], u[2], u[6], u[5]) for k, u in enumerate(own) if hit[k]]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["high", "low", "doc_id", "text_hash", "begin", "end", "words", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["high", "low", "doc_id", "text_hash", "begin", "end", "words", "letters", "unit"])
 
-    again = map_arrow(rows, second_pass, "high long, low long, doc_id long, text_hash long, begin long, end long, words long, unit long")
+    again = map_arrow(rows, second_pass, "high long, low long, doc_id long, text_hash long, begin long, end long, words long, letters long, unit long")
     later = again.join(repeated, ["high", "low"]).where(F.struct("doc_id", "text_hash", "begin") > F.col("first"))
-    of_doc = later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("unit", "begin", "end", "words")).alias("units"))
+    of_doc = later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("unit", "begin", "end", "words", "letters")).alias("units"))
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, mark, found in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text_hash", "units"))):
-                spans = spans_of(((u["unit"], u["begin"], u["end"], u["words"]) for u in found), min_words)
+                spans = spans_of(((u["unit"], u["begin"], u["end"], u["words"], u["letters"]) for u in found), min_words)
                 if spans := [{"begin": b, "end": e, "words": w} for b, e, w in spans]:
                     out.append((doc, mark, spans))
             if out:
