@@ -72,30 +72,35 @@ LINE, LINE_SEED = -1, 1
 def units(text: str) -> Iterator[tuple[int, int, str]]:
     """Begin, end and normalised form of each unit that has a word; the ends leave out white space."""
     at, n = 0, len(text)
+    spaceless = not text.isascii() and _SPACELESS.search(text) is not None
     while at < n:
         m = _UNIT.match(text, at)
         end = m.end() if m and m.end() > at else at + 1
         raw = text[at:end]
         if form := normal(raw):
             begin = at + len(raw) - len(raw.lstrip())
-            yield from pieces(raw.strip(), begin, form)
+            if not spaceless and form.count(" ") < WINDOW:
+                yield begin, at + len(raw.rstrip()), form
+            else:
+                yield from pieces(raw.strip(), begin, form, spaceless)
         at = end
 
 
-def pieces(sentence: str, at: int, form: str) -> Iterator[tuple[int, int, str]]:
+def pieces(sentence: str, at: int, form: str, spaceless: bool) -> Iterator[tuple[int, int, str]]:
     """The units of a sentence that begins at ``at`` and has the normalised form ``form``."""
-    spaceless = not sentence.isascii() and _SPACELESS.search(sentence)
-    if not spaceless and form.count(" ") < WINDOW:
+    places = [m.span() for m in (_WORD if spaceless else _BLANKLESS).finditer(sentence)]
+    if len(places) <= WINDOW:
         yield at, at + len(sentence), form
         return
-    places = [m.span() for m in (_WORD if spaceless else _BLANKLESS).finditer(sentence)]
-    words = form.split(" ") if sentence.isascii() else [normal(sentence[b:e]) for b, e in places]
+    words = form.split(" ")
+    by_blanks = not spaceless and len(words) == len(places)
+    if not by_blanks:
+        words = [normal(sentence[b:e]) for b, e in places]
     first = 0
-    inside = cuts([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]) if len(words) > WINDOW else []
-    for k in [*inside, len(places)]:
+    for k in [*cuts([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]), len(places)]:
         if k > first:
             begin, end = places[first][0], places[k - 1][1]
-            if piece := normal(sentence[begin:end]):
+            if piece := " ".join(words[first:k]) if by_blanks else normal(sentence[begin:end]):
                 yield at + begin, at + end, piece
             first = k
 
@@ -106,11 +111,13 @@ def cuts(hashes: list[int]) -> list[int]:
     best = -1
     for end in range(WINDOW, len(hashes) + 1):
         if best < end - WINDOW:
-            best = min(range(end - WINDOW, end), key=lambda k: (hashes[k], -k))
+            part = hashes[end - WINDOW : end]
+            best = end - 1 - part[::-1].index(min(part))
         elif hashes[end - 1] <= hashes[best]:
             best = end - 1
-        if not out or out[-1] != best:
-            out.append(best)
+        else:
+            continue
+        out.append(best)
     return out
 
 
