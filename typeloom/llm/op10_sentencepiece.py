@@ -9,8 +9,9 @@ the text falls into chunks that merge independently; ``Segmenter`` reads both
 facts off the vocabulary and takes the whole text as one chunk where the first
 does not hold. Chunks repeat, so each worker keeps a bounded memory of them.
 
-Every new chunk of an Arrow batch is also encoded by the sentencepiece library
-(in one call per batch) and both must agree.
+New chunks that begin with the word mark and are longer than it are also encoded by
+the sentencepiece library, many in a call, and both must agree; others, such as line
+ends and what follows them, are held only against the operator's own byte table.
 
 Results for odd input: null text counts as empty; an empty text gives the end id
 alone and decodes to the empty text; equal texts give equal rows, and repeated
