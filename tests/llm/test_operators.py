@@ -74,6 +74,7 @@ def pairs(df):
 def test_bitmap(spark):
     keys = [0, 1, -1, 5, 32768, 32769, 2**62, -(2**63), (1 << 25) * 7]
     bitmap = membership_bitmap(spark.createDataFrame([(k,) for k in keys], "k long"), "k")
+    assert len(bitmap) * 8 - 32768 == 1 << 25
     assert in_bitmap(bitmap, np.array(keys)).all() and in_bitmap(bitmap, np.arange(6, 32768)).sum() == 0
 
 
@@ -182,7 +183,7 @@ def test_ngram_join_at_the_border_and_in_large_clusters(spark):
                 words[r.randrange(len(words))] = f"w{r.randint(0, 9)}"
             rows.append((len(rows), " ".join(words[: len(words) - r.randint(0, 2)])))
     df = docs_of(spark, [(i, t, None, None) for i, t in rows])
-    for k, num, den, most in ((3, 9, 10, 4096), (3, 9, 10, 4), (5, 8, 10, 5)):
+    for k, num, den, most in ((3, 9, 10, 4096), (3, 9, 10, 4), (5, 8, 10, 5), (5, 8, 10, 4096)):
         assert pairs(op3.Join(k, num, den, most).run(df)) == brute_components(rows, k, num, den)
 
 
@@ -194,7 +195,21 @@ def test_similar_sets_share_a_key(n, seed, threshold):
     keep = r.random(len(a)) > r.choice([0.02, 0.1, 0.2])
     b = np.unique(np.concatenate([a[keep], r.integers(0, 2**63, int(r.integers(0, 1 + n // 8))).astype(np.uint64)]))
     if len(b) and op3.similar(a, b, *threshold):
-        assert set(op3.block_keys(a, *threshold)) & set(op3.block_keys(b, *threshold))
+        ranks = r.integers(0, 4, op3.COUNTERS).astype(np.uint8)
+        assert set(op3.prefix(a, ranks, *threshold)) & set(op3.prefix(b, ranks, *threshold))
+        assert op3.plausible_pairs([(7, len(a), op3.sketch(a)), (8, len(b), op3.sketch(b))], *threshold)
+        far = np.unique(r.integers(0, 2**63, len(b)).astype(np.uint64))
+        assert op3.plausible_pairs([(7, len(a), op3.sketch(a)), (9, len(far), op3.sketch(far)), (8, len(b), op3.sketch(b))], *threshold)
+
+
+def test_long_words_whose_polynomials_agree_are_told_apart():
+    one, other = "", ""
+    for i in range(4096):  # Thue-Morse words
+        odd = i.bit_count() % 2
+        one, other = one + "ab"[odd], other + "ba"[odd]
+    a, b = Shingler(3).sets(pa.array([f"x {one} y z", f"x {other} y z"]))
+    assert not set(a) & set(b[:1]) or len(set(a) ^ set(b)) == 2
+    assert set(a) != set(b)
 
 
 # 4

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,9 +19,11 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs on this machine (tests), a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="typeloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -78,21 +81,23 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-#: Bits of a membership bitmap. It has this size for any input: 4 MB.
-BITMAP_BITS = 1 << 25
+#: Least and most bits of a membership bitmap: 4 MB to 32 MB.
+LEAST_BITS, MOST_BITS = 1 << 25, 1 << 28
 _SEGMENT = 32768  # bits in one bitmap_construct_agg value
 
 
-def membership_bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A fixed-size bitmap of the int64 column ``key`` modulo ``bits``.
+def membership_bitmap(keys: DataFrame, key: str, bits: int | None = None) -> np.ndarray:
+    """A bitmap of the int64 column ``key`` modulo ``bits``: 16 bits a row of ``keys`` if not given, between LEAST_BITS and MOST_BITS.
 
     It tells for sure that a key is absent; it may say that an absent key is
     present. It only spares shuffles: whoever uses it joins exactly afterwards.
     At most ``bits / 32768`` rows of 4 KB reach the driver.
     """
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
     slot = F.pmod(F.col(key), F.lit(bits))
     found = keys.select((slot.cast("long")).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
-    out = np.zeros(bits // 8 + _SEGMENT // 8, dtype=np.uint8)
+    out = np.zeros((bits + _SEGMENT) // 8, dtype=np.uint8)
     for row in found.collect():
         # bucket numbers are 1-based: value v > 0 is bit (v - 1) % 32768 of bucket 1 + (v - 1) / 32768; 0 and below go to bucket 0
         at = row.b * (_SEGMENT // 8)
@@ -100,9 +105,9 @@ def membership_bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> np.
     return out
 
 
-def in_bitmap(bitmap: np.ndarray, keys: np.ndarray, bits: int = BITMAP_BITS) -> np.ndarray:
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For int64 keys: may they be among those that ``membership_bitmap`` got?"""
-    slot = keys.astype(np.int64) % bits
+    slot = keys.astype(np.int64) % (len(bitmap) * 8 - _SEGMENT)
     number = np.where(slot > 0, 1 + (slot - 1) // _SEGMENT, 0)
     position = np.where(slot > 0, (slot - 1) % _SEGMENT, (-slot) % _SEGMENT)
     return (bitmap[number * (_SEGMENT // 8) + position // 8] >> (position % 8).astype(np.uint8)) & 1 == 1

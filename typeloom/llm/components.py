@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import durable
+from typeloom.llm.common import durable, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,11 +19,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jumped = hooked.join(labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label")
         after = durable(jumped.select("node", "old", F.least("label", "further").alias("label")), "labels")
-        changed = after.where("old <> label").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels
+        release(labels)
+        labels = after
+        if after.where("old <> label").isEmpty():
+            release(both)
+            return labels.select("node", "label")

@@ -4,19 +4,21 @@ Documents are linked when the Jaccard similarity of their shingle sets is
 ``numerator / denominator`` or more. The result is the connected component of each
 document; every link between different sets is accounted for, none is sampled.
 
-1. *Sets.* One pass makes the shingle set of each whole text and, of it, a digest
-   and block keys. Documents with equal sets are one class from here on, and a task
-   gives the keys of a class once. Two independent digests are made; should equal
-   first ones have different second ones, the pass is made again with another seed.
-2. *Candidates.* A set of n hashes is dealt into blocks by hash. Two sets that are
-   similar differ in at most D hashes (a bound by size class), so with more than D
-   blocks one is equal in both, and its key (size class, block, sum of its hashes)
-   brings the two together. Blocks hold hashes from all over the text, so texts
-   that merely share a passage share no block. Sets with so many empty blocks that
-   an equal one could be empty add keys for their empty blocks, which keeps this
-   exact. Within each group of a key, bitmaps of the sets rule out pairs that cannot
-   be similar (texts that share a passage may share a key of few hashes); what is
-   left makes components, the clusters, and similar sets are always in one cluster.
+1. *Sets.* One pass makes the shingle set of each whole text and, of it, a digest.
+   Documents with equal sets are one class from here on. Two independent digests
+   are made; should equal first ones have different second ones, the pass is made
+   again with another seed. The same pass counts shingles in a table of fixed size
+   (``COUNTERS``, by hash), over all sets.
+2. *Candidates.* Shingles have one order for all sets: rarest first by those
+   counters, then by hash. Of two similar sets, the first n - ceil(t * n) + 1
+   shingles of each (its prefix) have one in common, whatever the order is, so the
+   counters decide on cost and never on results: what many texts share comes last
+   and is seldom in a prefix. Keys that occur once go by a count alone, and of keys
+   with the same members one stays. Within each group of a key, parity sketches
+   (their differing bits are a lower bound of the differing shingles) and sizes rule
+   out pairs that cannot be similar; what is left makes components, the clusters,
+   and similar sets are always in one cluster. A group of more than ``CLUSTER_SETS``
+   is never gathered: all of it is tied to its first member, unchecked.
 3. *Signature trees.* A worker takes one cluster. Its sets, in order of size, are
    the leaves of a tree whose nodes hold the OR of bitmaps of hashes and the range
    of sizes. A dual traversal goes through pairs of nodes and drops those whose
@@ -37,13 +39,12 @@ unless all its ids are null; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.llm.common import column, durable, in_bitmap, map_arrow, membership_bitmap, release, slices, table
@@ -53,60 +54,41 @@ from typeloom.llm.shingles import Shingler, U, mix, set_digest
 #: What a worker takes as one cluster.
 CLUSTER_SETS, CLUSTER_HASHES = 4096, 4 << 20
 LEAF = 8
+#: Counters of shingles: 4 MB as broadcast, with counts on a scale of 256 steps.
+COUNTERS, COUNTER_PARTS = 1 << 22, 64
 #: Members of clusters (40 bytes each) are broadcast to the sets up to so many.
 BROADCAST_MEMBERS = 400_000
-#: Bitmaps of the sets of large clusters are broadcast up to so many bytes.
-BROADCAST_SKETCHES = 48 << 20
 #: Digests that a task remembers so as to give keys of a class once.
 REMEMBERED = 200_000
+U32 = np.uint32(1)
 FIRST_DIGEST, SECOND_DIGEST = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179
 
 
-@lru_cache(None)
-def size_class(n: int, num: int, den: int) -> tuple[int, int, int]:
-    """Number, least and greatest size of the class of sets of ``n`` hashes: greatest = least * den / num."""
-    c, low = 0, 1
-    while True:
-        high = low * den // num
-        if n <= high:
-            return c, low, high
-        c, low = c + 1, high + 1
-
-
-@lru_cache(None)
-def blocks_of(low: int, high: int, num: int, den: int) -> tuple[int, int]:
-    """For pairs whose smaller set has ``low`` to ``high`` hashes: how many may differ, and how many blocks to make.
-
-    The spare blocks are so many that more empty ones are rare for sets of ``low`` hashes.
-    """
-    differ = high * (den - num) // num
-    blocks = differ + 1
-    for _ in range(8):
-        empty = blocks * math.exp(-low / blocks)
-        blocks = differ + 1 + math.ceil(empty + 4 * math.sqrt(empty) + 1)
-    return differ, blocks
-
-
-def block_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of a set, as the smaller of a pair and as one of the next class."""
-    c, low, high = size_class(len(hashes), num, den)
-    made = []
-    for instance in (c, c - 1):
-        if instance < 0:
-            continue
-        if instance < c:
-            _, low, high = size_class(low - 1, num, den)
-        differ, blocks = blocks_of(low, high, num, den)
-        at = (hashes >> U(11)) % U(blocks)
-        sums = np.zeros(blocks, dtype=U)
-        np.add.at(sums, at.astype(np.int64), mix(hashes + U(instance)))
-        filled = np.bincount(at.astype(np.int64), minlength=blocks) > 0
-        which = np.arange(blocks, dtype=U)
-        salt = mix(np.array([instance * 2 + 1], dtype=U))
-        made.append(mix(sums[filled] + mix(which[filled] + salt)))
-        if filled.sum() <= differ:
-            made.append(mix(mix(which[~filled] + salt) ^ U(0x5851F42D4C957F2D)))
-    return np.concatenate(made)
+def prefix(hashes: np.ndarray, ranks: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first shingles of a set, so many that similar sets have one of them in common. ``ranks`` is the scale of counters."""
+    most = len(hashes) - -(-num * len(hashes) // den) + 1
+    order = (ranks[counter_of(hashes)].astype(U) << U(56)) | (hashes >> U(8))
+    # shingles that tie with the last one come along, so that ties cannot differ between sets
+    return hashes[order <= np.partition(order, most - 1)[most - 1]]
+
+
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> U(20)) & U(COUNTERS - 1)).astype(np.int64)
+
+
+def scale(counts: np.ndarray) -> np.ndarray:
+    """Counts to 256 steps, in order."""
+    return np.minimum(255, 8 * np.log2(counts + 1.0)).astype(np.uint8)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit for each of some slots: is the number of shingles in it odd? At least as many bits as shingles, up to 16,384."""
+    width = min(1 << 14, max(64, 1 << (len(hashes) - 1).bit_length()))
+    return np.packbits(np.bincount((hashes & U(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -247,26 +229,35 @@ def _edges(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def plausible_pairs(rows: list[tuple[int, int, bytes]], num: int, den: int, most: int) -> list[tuple[int, int]]:
-    """Of rows (class, size, bitmap): links that connect all pairs whose bitmaps do not rule out the similarity."""
-    if len(rows) > most:
-        return [(rows[0][0], r[0]) for r in rows[1:]]
-    width = min(len(r[2]) for r in rows)
-    # a longer bitmap is folded: bit i of it is bit i modulo the shorter width
-    bits = np.stack([np.bitwise_or.reduce(np.frombuffer(r[2], dtype=U).reshape(-1, width // 8), axis=0) for r in rows])
+def plausible_pairs(rows: list[tuple[int, int, bytes]], num: int, den: int) -> list[tuple[int, int]]:
+    """Of rows (set, size, sketch): links that connect all pairs whose sizes and sketches do not rule out the similarity."""
+    if len(rows) == 2:  # the most frequent case
+        (i, n, x), (j, m, y) = rows
+        if min(n, m) * den < num * max(n, m):
+            return []
+        if len(x) == len(y):
+            differ = (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+            return [(i, j)] if differ * (den + num) <= (den - num) * (n + m) else []
+    rows = sorted(rows, key=lambda r: r[1])
     sizes = np.array([r[1] for r in rows])
-    excess = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    widths = np.array([len(r[2]) // 8 for r in rows])  # in words of 64 bits; they grow with the size
     parent = np.arange(len(rows))
     out = []
-    for i in range(len(rows) - 1):
-        later = np.flatnonzero(parent[i + 1 :] != parent[i]) + i + 1
-        if not len(later):
-            continue
-        overlap = np.bitwise_count(bits[later] & bits[i]).sum(axis=1).astype(np.int64) + np.minimum(excess[later], excess[i])
-        for j in later[overlap * (num + den) >= num * (sizes[later] + sizes[i])].tolist():
-            if parent[j] != parent[i]:
-                parent[parent == parent[j]] = parent[i]
-                out.append((rows[i][0], rows[j][0]))
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        first, last = int(own[0]), int(np.searchsorted(sizes, sizes[own[-1]] * den // num, side="right"))
+        # a wider sketch is folded: bit i of it is bit i modulo the width
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[2], dtype=U).reshape(-1, width), axis=0) for r in rows[first:last]])
+        for i in own.tolist():
+            end = int(np.searchsorted(sizes, sizes[i] * den // num, side="right"))
+            later = np.flatnonzero(parent[i + 1 : end] != parent[i]) + i + 1
+            if not len(later):
+                continue
+            differ = np.bitwise_count(bits[later - first] ^ bits[i - first]).sum(axis=1).astype(np.int64)
+            for j in later[differ * (den + num) <= (den - num) * (sizes[later] + sizes[i])].tolist():
+                if parent[j] != parent[i]:
+                    parent[parent == parent[j]] = parent[i]
+                    out.append((rows[i][0], rows[j][0]))
     return out
 
 
@@ -277,13 +268,14 @@ class Join:
         self.k, self.num, self.den, self.cluster_sets, self.cluster_hashes = k, num, den, cluster_sets, cluster_hashes
 
     def signatures(self, docs: DataFrame, seed: int, first: int = FIRST_DIGEST) -> DataFrame:
-        """id, n, cls and second digest, and block keys (where the task has not given those of the class yet)."""
-        k, num, den = self.k, self.num, self.den
+        """id, n, cls, second digest and mark of each row; and for each task the parts of its counters (part, counts), with n null."""
+        k = self.k
+        names = ["id", "n", "cls", "second", "mark", "part", "counts"]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s, seen = Shingler(k, seed), set()
+            s, seen, counts = Shingler(k, seed), set(), np.zeros(COUNTERS, dtype=np.uint32)
             for batch in slices(batches, "text"):
-                ns, cls, second, keys = [], [], [], []
+                ns, cls, second = [], [], []
                 for found in s.sets(column(batch, "text")):
                     c = set_digest(found, first)
                     ns.append(len(found)), cls.append(c), second.append(set_digest(found, SECOND_DIGEST))
@@ -291,97 +283,151 @@ class Join:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(c)
-                        keys.append(block_keys(found, num, den).view(np.int64))
-                    else:
-                        keys.append(np.empty(0, np.int64))
-                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(ns, pa.int64()), pa.array(cls, pa.int64()), pa.array(second, pa.int64()), flat], ["id", "n", "cls", "second", "keys"])
+                        counts[counter_of(found)] += U32
+                n = len(ns)
+                yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(ns, pa.int64()), pa.array(cls, pa.int64()), pa.array(second, pa.int64()), column(batch, "mark"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            if seen:
+                parts = [_packed(x) for x in np.split(counts, COUNTER_PARTS)]
+                none = pa.nulls(COUNTER_PARTS, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
-        # rows get small numbers of their own, which the shuffle of keys compresses better than digests
-        return durable(map_arrow(docs, run, "id long, n long, cls long, second long, keys array<long>").withColumn("row", F.monotonically_increasing_id()), "signatures")
+        return durable(map_arrow(docs, run, "id long, n long, cls long, second long, mark long, part int, counts binary"), "signatures")
 
-    def sets_of(self, docs: DataFrame, members: DataFrame, seed: int) -> DataFrame:
-        """(cls, hashes) for the classes of ``members``; some other classes may come along, and a class once per task."""
-        k = self.k
-        shared = docs.sparkSession.sparkContext.broadcast(membership_bitmap(members, "cls"))
+    @staticmethod
+    def ranks(signatures: DataFrame) -> np.ndarray:
+        """The counters of all tasks, added up and brought to a scale: 4 MB."""
+
+        def add(keys: list[str]):
+            def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                now, total = None, None
+
+                def done() -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([_packed(total)], pa.binary())], ["part", "counts"])
+
+                for batch in batches:
+                    for *key, packed in zip(*(column(batch, c).to_pylist() for c in (*keys, "counts"))):
+                        if key != now:
+                            if now is not None:
+                                yield done()
+                            now, total = key, np.zeros(COUNTERS // COUNTER_PARTS, dtype=np.uint32)
+                        more = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint32)
+                        total += np.minimum(more, 0xFFFFFFFF - total)
+                if now is not None:
+                    yield done()
+
+            return run
+
+        # first within some groups of tasks, so that no task reads the counters of all
+        parts = signatures.where("part IS NOT NULL").select("part", "counts").withColumn("lot", F.pmod(F.xxhash64("counts"), F.lit(16)).cast("int"))
+        some = map_arrow(parts.repartition("part", "lot").sortWithinPartitions("part", "lot"), add(["part", "lot"]), "part int, counts binary")
+        every = map_arrow(some.repartition("part").sortWithinPartitions("part"), add(["part"]), "part int, counts binary")
+        out = np.zeros(COUNTERS, dtype=np.uint8)
+        size = COUNTERS // COUNTER_PARTS
+
+        def scaled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [scale(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint32)).tobytes() for x in column(batch, "counts").to_pylist()]
+                yield pa.RecordBatch.from_arrays([column(batch, "part"), pa.array(found, pa.binary())], ["part", "counts"])
+
+        for row in map_arrow(every, scaled, "part int, counts binary").collect():
+            out[row.part * size : (row.part + 1) * size] = np.frombuffer(row.counts, dtype=np.uint8)
+        return out
+
+    def prefixes(self, docs: DataFrame, ranks: np.ndarray, seed: int) -> DataFrame:
+        """row, cls, n, sketch and keys of each class, once per task."""
+        k, num, den = self.k, self.num, self.den
+        shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, seen = Shingler(k, seed), set()
             for batch in slices(batches, "text"):
-                found = list(s.sets(column(batch, "text")))
-                cls = np.array([set_digest(f, FIRST_DIGEST) for f in found], dtype=np.int64)
-                hit = in_bitmap(shared.value, cls)
-                kept = []
-                for i, c in enumerate(cls.tolist()):
-                    if hit[i] and len(found[i]) and c not in seen:
+                kept, cls = [], []
+                for found in s.sets(column(batch, "text")):
+                    c = set_digest(found, FIRST_DIGEST) if len(found) else None
+                    if c is not None and c not in seen:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(c)
-                        kept.append(i)
+                        kept.append(found), cls.append(c)
                 if kept:
-                    flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(found[i]) for i in kept])]), pa.int32()), pa.array(np.concatenate([found[i] for i in kept]).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[kept]), flat], ["cls", "hashes"])
-
-        return map_arrow(docs.select("text"), run, "cls long, hashes array<long>")
-
-    def candidate_ties(self, signatures: DataFrame) -> DataFrame:
-        """(key, row, first): rows that share a key, each with the least of its group."""
-        keyed = signatures.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "row")
-        least = F.first("row").over(Window.partitionBy("key").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return durable(keyed.select("key", "row", least.alias("first")).where("first <> row"), "tied")
-
-    def plausible_ties(self, docs: DataFrame, signatures: DataFrame, tied: DataFrame, seed: int) -> DataFrame:
-        """(a, b): classes that share a key and whose bitmaps allow the similarity; enough pairs to connect all such.
-
-        Keys of few hashes can tie texts that share a passage, and such ties chain.
-        Each group of a key gets the bitmaps of its members, and pairs are given so
-        that all with a sufficient possible overlap are connected. Groups of more
-        than ``CLUSTER_SETS`` are tied to one member as they are.
-        """
-        k, num, den, most = self.k, self.num, self.den, self.cluster_sets
-        spark = docs.sparkSession
-        of_row = signatures.where("keyed").select("row", "cls")
-        members = tied.select("key", "row").unionByName(tied.select("key", F.col("first").alias("row")).distinct())
-        grouped = durable(members.join(of_row, "row").select("key", "cls").distinct(), "grouped")
-        classes = durable(grouped.select("cls").distinct(), "tied_classes")
-        shared = spark.sparkContext.broadcast(membership_bitmap(classes, "cls"))
-
-        def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s, seen = Shingler(k, seed), set()
-            for batch in slices(batches, "text"):
-                found = list(s.sets(column(batch, "text")))
-                cls = [set_digest(f, FIRST_DIGEST) for f in found]
-                hit = in_bitmap(shared.value, np.array(cls, dtype=np.int64))
-                out = []
-                for f, c, h in zip(found, cls, hit):
-                    if h and len(f) and c not in seen:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen.add(c)
-                        width = min(1 << 16, max(256, 1 << (2 * len(f)).bit_length()))
-                        flags = np.zeros(width, dtype=bool)
-                        flags[(f & U(width - 1)).astype(np.int64)] = True
-                        out.append((c, len(f), np.packbits(flags, bitorder="little").tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["cls", "n", "bits"])
-
-        sketches = map_arrow(docs.select("text"), sketch, "cls long, n long, bits binary").dropDuplicates(["cls"]).join(classes, "cls", "left_semi")
-        sketches = durable(sketches, "sketches")
-        small = (sketches.agg(F.sum(F.length("bits"))).first()[0] or 0) <= BROADCAST_SKETCHES
+                    keys = [prefix(f, shared.value, num, den).view(np.int64) for f in kept]
+                    flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.int32()), pa.array(np.concatenate(keys)))
+                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([len(f) for f in kept], pa.int64()), pa.array([sketch(f) for f in kept], pa.binary()), flat], ["cls", "n", "sketch", "keys"])
+
+        # rows get small numbers of their own, which the shuffle of keys compresses better than digests
+        return durable(map_arrow(docs.select("text"), run, "cls long, n long, sketch binary, keys array<long>").withColumn("row", F.monotonically_increasing_id()), "prefixes")
+
+    def candidate_ties(self, prefixes: DataFrame) -> DataFrame:
+        """(key, row, first, size): rows that share a key, each with the least of its group and the group's size. Of groups with the same rows one is left."""
+        spark = prefixes.sparkSession
+
+        def with_keys_of(kept: DataFrame) -> DataFrame:
+            """(key, row) for the keys of ``kept``, and some others."""
+            shared = spark.sparkContext.broadcast(membership_bitmap(kept, "key"))
+
+            def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    keys, rows = column(batch, "keys"), column(batch, "row").to_numpy()
+                    flat = keys.flatten().to_numpy()
+                    hit = in_bitmap(shared.value, flat)
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), pa.array(np.repeat(rows, keys.value_lengths().to_numpy())[hit])], ["key", "row"])
+
+            return map_arrow(prefixes.select("row", "keys"), run, "key long, row long")
+
+        repeated = durable(prefixes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "repeated")
+        groups = with_keys_of(repeated).groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("row")).alias("rows")).where("size > 1")
+        kept = durable(groups.groupBy("first", "size", "rows").agg(F.min("key").alias("key")).select("key", "first", "size"), "groups")
+        release(repeated)
+        tied = durable(with_keys_of(kept).join(kept, "key"), "tied")
+        release(kept)
+        return tied
+
+    def plausible_ties(self, prefixes: DataFrame, tied: DataFrame) -> DataFrame:
+        """(a, b): classes that share a key and whose sizes and sketches allow the similarity; enough pairs to connect all such."""
+        num, den, most = self.num, self.den, self.cluster_sets
+        spark = tied.sparkSession
+        sketches = prefixes.select("row", "n", "sketch")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        dealt = grouped.join(F.broadcast(sketches) if small else sketches, "cls").repartition(parts, "key").sortWithinPartitions("key")
+        dealt = tied.where(F.col("size") <= most).select("key", "row").join(sketches, "row").repartition(parts, "key").sortWithinPartitions("key")
 
         def connect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept: set[tuple[int, int]] = set()
-            for _, rows in _runs(batches, ["key"], ["cls", "n", "bits"]):
-                kept.update(plausible_pairs(rows, num, den, most))
+            for _, rows in _runs(batches, ["key"], ["row", "n", "sketch"]):
+                kept.update(plausible_pairs(rows, num, den))
                 if len(kept) >= 100_000:
                     yield _edges(kept)
                     kept = set()
             if kept:
                 yield _edges(kept)
 
-        return durable(map_arrow(dealt, connect, "a long, b long").distinct(), "plausible")
+        large = tied.where((F.col("size") > most) & F.expr("row <> first")).select(F.col("first").alias("a"), F.col("row").alias("b"))
+        ties = map_arrow(dealt, connect, "a long, b long").unionByName(large).distinct()
+        cls = prefixes.select("row", "cls")
+        named = ties.join(cls.toDF("a", "x"), "a").join(cls.toDF("b", "y"), "b")
+        return durable(named.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "plausible")
+
+    def sets_of(self, docs: DataFrame, members: DataFrame, seed: int) -> DataFrame:
+        """(cls, hashes) for texts with the marks of ``members``; some others may come along, and a class once per task."""
+        k = self.k
+        shared = docs.sparkSession.sparkContext.broadcast(membership_bitmap(members, "mark"))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s, seen = Shingler(k, seed), set()
+            for batch in slices(batches, "text"):
+                batch = batch.filter(pa.array(in_bitmap(shared.value, column(batch, "mark").to_numpy())))
+                cls, kept = [], []
+                for found in s.sets(column(batch, "text")) if batch.num_rows else ():
+                    c = set_digest(found, FIRST_DIGEST)
+                    if len(found) and c not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(c)
+                        cls.append(c), kept.append(found)
+                if kept:
+                    flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in kept])]), pa.int32()), pa.array(np.concatenate(kept).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), flat], ["cls", "hashes"])
+
+        return map_arrow(docs.select("text", "mark"), run, "cls long, hashes array<long>")
 
     def cluster_links(self, sets: DataFrame) -> DataFrame:
         """(cls, label) within clusters of bounded size: rows cluster, cls, hashes."""
@@ -443,36 +489,42 @@ class Join:
 
     @staticmethod
     def members(labels: DataFrame, classes: DataFrame) -> DataFrame:
-        """(cluster, cls, size, hash_total) from component labels."""
-        clusters = labels.select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
-        totals = clusters.join(classes.select("cls", "n"), "cls").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("hash_total"))
-        return durable(clusters.join(totals, "cluster"), "members")
+        """(cluster, cls, mark, size, hash_total) from component labels."""
+        clusters = labels.select(F.col("node").alias("cls"), F.col("label").alias("cluster")).join(classes.select("cls", "n", "mark"), "cls")
+        totals = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("hash_total"))
+        return durable(clusters.drop("n").join(totals, "cluster"), "members")
 
     def run(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_shingles, component_id for each row of ``docs``."""
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
         seed = 0
         while True:
             signatures = self.signatures(rows, seed)
-            classes = durable(signatures.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min("second").alias("s"), F.max("second").alias("t")), "classes")
+            own = signatures.where("n IS NOT NULL")
+            classes = durable(own.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min("mark").alias("mark"), F.min("second").alias("s"), F.max("second").alias("t")), "classes")
             if classes.where("s <> t").isEmpty():
                 break
+            release(signatures), release(classes)
             seed += 1  # two sets had one digest
-        tied = self.candidate_ties(signatures)
-        keyed, signatures = signatures, durable(signatures.select("id", "n", "cls", "row", (F.size("keys") > 0).alias("keyed")), "classed")
-        release(keyed)  # the keys are large, and done with
-        ties = self.plausible_ties(rows, signatures, tied, seed)
+        prefixes = self.prefixes(rows, self.ranks(signatures), seed)
+        tied = self.candidate_ties(prefixes)
+        ties = self.plausible_ties(prefixes, tied)
+        release(prefixes), release(tied)
         members = self.members(components(ties), classes)
         large = (F.col("size") > self.cluster_sets) | (F.col("hash_total") > self.cluster_hashes)
         few = members.count() <= BROADCAST_MEMBERS  # else Spark shuffles both sides
-        sets = durable(self.sets_of(rows, members, seed).join(F.broadcast(members) if few else members, "cls"), "sets")
+        told = members.drop("mark")
+        sets = durable(self.sets_of(rows, members, seed).join(F.broadcast(told) if few else told, "cls"), "sets")
         labels = self.cluster_links(sets.where(~large))
         if not members.where(large).isEmpty():
             labels = labels.unionByName(components(self.large_links(sets.where(large), ties)).select(F.col("node").alias("cls"), "label"))
         labels = durable(labels, "components")
+        for done in (sets, ties, members):
+            release(done)
         least = labels.join(classes, "cls").groupBy("label").agg(F.min("least").alias("component"))
-        of_class = classes.join(labels.join(least, "label"), "cls", "left").select("cls", F.coalesce("component", "least").alias("component"))
-        joined = signatures.select("id", "n", "cls").join(of_class, "cls", "left")
+        # a table, so that both sides of the last join are plain and Spark can split it at hot classes
+        of_class = durable(classes.join(labels.join(least, "label"), "cls", "left").select("cls", F.coalesce("component", "least").alias("component")), "classified")
+        joined = own.select("id", "n", "cls").join(of_class, "cls", "left")
         return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 

@@ -6,7 +6,9 @@ fewer words (and at least one) has its whole sequence as its only shingle; a tex
 without words has none.
 
 Each word is hashed by a polynomial over table values of its bytes, so all words of
-a batch come from one running sum. All hashes have 64 bits and a seed.
+a batch come from one running sum. Modulo 2^64 there are long words whose
+polynomials agree at any base, so words of more than ``LONG`` bytes get xxhash
+instead. All hashes have 64 bits and a seed.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
+LONG = 24
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -36,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Shingler:
     def __init__(self, k: int, seed: int = 0):
-        self.k = k
+        self.k, self.seed = k, seed
         random = np.random.Generator(np.random.PCG64(seed))
         self.bytes = random.integers(0, 1 << 64, 256, dtype=U, endpoint=False) | U(1)
         self.weights = random.integers(0, 1 << 64, k, dtype=U) | U(1)
@@ -73,8 +77,12 @@ class Shingler:
         begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
         self._reach(len(whole) + 1)
         sums = np.zeros(len(whole) + 1, dtype=U)
-        np.cumsum(self.bytes[_LOWER[whole]] * self.powers[: len(whole)], out=sums[1:])
+        lower = _LOWER[whole]
+        np.cumsum(self.bytes[lower] * self.powers[: len(whole)], out=sums[1:])
         words = mix((sums[ends + 1] - sums[begins]) * self.inverses[begins])
+        long = np.flatnonzero(ends - begins >= LONG)
+        if len(long):
+            words[long] = [xxhash.xxh3_64_intdigest(lower[a : b + 1].tobytes(), self.seed) for a, b in zip(begins[long].tolist(), ends[long].tolist())]
         firsts = np.searchsorted(begins, offsets)
         k = self.k
         runs = np.zeros(max(0, len(words) - k + 1), dtype=U)
