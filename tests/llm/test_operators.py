@@ -420,6 +420,15 @@ def test_chunked_tokenizers_are_the_libraries(texts):
         assert (n, ids, decoded) == (len(theirs), " ".join(map(str, theirs)), s.library.decode(theirs)) and s.decode(theirs) == decoded
 
 
+def test_packing_tokens_of_all_code_points():
+    t = op8.ChunkTokenizer(WORD_BPE)
+    every = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 50_000):
+        part = every[at : at + 50_000]
+        theirs = t.library.encode_batch_fast(part, add_special_tokens=False)
+        assert t.encode_all(part) == [np.array(x.ids, dtype="<u4").tobytes() for x in theirs]
+
+
 # 9
 
 

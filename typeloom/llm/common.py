@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -78,7 +80,27 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+    """``mapInArrow``, after which a worker gives memory back: it is kept for later tasks, and others run beside it meanwhile."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from typeloom.llm.common import give_back
+
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 #: Least and most bits of a membership bitmap: 4 MB to 32 MB.

@@ -17,8 +17,8 @@ document; every link between different sets is accounted for, none is sampled.
    with the same members one stays. Within each group of a key, parity sketches
    (their differing bits are a lower bound of the differing shingles) and sizes rule
    out pairs that cannot be similar; what is left makes components, the clusters,
-   and similar sets are always in one cluster. A group of more than ``CLUSTER_SETS``
-   is never gathered: all of it is tied to its first member, unchecked.
+   and similar sets are always in one cluster. A group of more than ``GATHERED``
+   rows is never gathered: all of it is tied to its first member, unchecked.
 3. *Signature trees.* A worker takes one cluster. Its sets, in order of size, are
    the leaves of a tree whose nodes hold the OR of bitmaps of hashes and the range
    of sizes. A dual traversal goes through pairs of nodes and drops those whose
@@ -54,6 +54,10 @@ from typeloom.llm.shingles import Shingler, U, mix, set_digest
 #: What a worker takes as one cluster.
 CLUSTER_SETS, CLUSTER_HASHES = 4096, 4 << 20
 LEAF = 8
+#: Rows of a key's group that a worker gathers.
+GATHERED = 512
+#: Bytes of text that are made into sets in one go; the scratch arrays have some 100 times as many.
+SLICE = 1 << 20
 #: Counters of shingles: 4 MB as broadcast, with counts on a scale of 256 steps.
 COUNTERS, COUNTER_PARTS = 1 << 22, 64
 #: Members of clusters (40 bytes each) are broadcast to the sets up to so many.
@@ -274,7 +278,7 @@ class Join:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, seen, counts = Shingler(k, seed), set(), np.zeros(COUNTERS, dtype=np.uint32)
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", SLICE):
                 ns, cls, second = [], [], []
                 for found in s.sets(column(batch, "text")):
                     c = set_digest(found, first)
@@ -340,7 +344,7 @@ class Join:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, seen = Shingler(k, seed), set()
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", SLICE):
                 kept, cls = [], []
                 for found in s.sets(column(batch, "text")):
                     c = set_digest(found, FIRST_DIGEST) if len(found) else None
@@ -384,7 +388,7 @@ class Join:
 
     def plausible_ties(self, prefixes: DataFrame, tied: DataFrame) -> DataFrame:
         """(a, b): classes that share a key and whose sizes and sketches allow the similarity; enough pairs to connect all such."""
-        num, den, most = self.num, self.den, self.cluster_sets
+        num, den, most = self.num, self.den, min(GATHERED, self.cluster_sets)
         spark = tied.sparkSession
         sketches = prefixes.select("row", "n", "sketch")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -413,7 +417,7 @@ class Join:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, seen = Shingler(k, seed), set()
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", SLICE):
                 batch = batch.filter(pa.array(in_bitmap(shared.value, column(batch, "mark").to_numpy())))
                 cls, kept = [], []
                 for found in s.sets(column(batch, "text")) if batch.num_rows else ():

@@ -39,11 +39,13 @@ from typeloom.llm.common import column, durable, map_arrow, slices, table
 
 CAPACITY, END_ID = 4096, 1
 #: White-space separated chunks that a worker remembers (two halves of so many), and the longest one remembered.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 #: Control characters that Python takes for white space and the tokenizer does not.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Code points from here on go to the library: its Unicode tables and Python's may be of different versions. Below it are the Latin blocks, which have no unassigned ones.
+BEYOND = "\u0250"
 #: Words inside chunks that a worker remembers besides.
-WORDS = 200_000
+WORDS = 100_000
 _PARTS = re.compile(r"[^\W\d_]+|[\W_]+|\d")
 #: The visible character that stands for each byte in byte-level vocabularies: its own where it has one, else the next from 256 on.
 _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -65,7 +67,7 @@ class ChunkTokenizer:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         probe = " Ab  c's\td1\nÉ ́x "
         self.chunked = self._whole(probe) == b"".join(map(self._whole, probe.split()))
-        self.letters_plain = self.chunked and all(self._whole(w.upper()) == self._model(w) for w in ("the", "thblein", "zq", "\u00e9t\u00e9\u00f1", "\u044f\u6f22"))
+        self.letters_plain = self.chunked and all(self._whole(w.upper()) == self._model(w) for w in ("the", "thblein", "zq", "\u00e9t\u00e9\u00f1", "\u0142\u01e7"))
         self.letters_plain = self.letters_plain and self._whole("a.b,,1\u00e9!") == b"".join(map(self._whole, ("a", ".", "b", ",,", "1", "\u00e9", "!")))
         self.words: dict[str, bytes] = {}
         self.memory: dict[str, bytes] = {}
@@ -82,7 +84,7 @@ class ChunkTokenizer:
 
     def _plain(self, chunk: str) -> bytes | None:
         """Ids of a chunk of words and stops, where neither normalising nor an apostrophe has a say."""
-        if "'" in chunk or "\u03a3" in chunk or not chunk.isascii() and not unicodedata.is_normalized("NFC", chunk):
+        if "'" in chunk or not chunk.isascii() and (max(chunk) >= BEYOND or not unicodedata.is_normalized("NFC", chunk)):
             return None
         low = chunk.lower()
         if len(low) != len(chunk):
