@@ -217,7 +217,7 @@ def test_long_words_whose_polynomials_agree_are_told_apart():
 
 def test_units_and_cuts():
     text = 'One two. Three "four." Five\n\nsix 1.5 seven! \n'
-    assert [text[b:e] for b, e, _ in op4.units(text)] == ["One two.", 'Three "four."', "Five", "six 1.5 seven!"]
+    assert [text[b:e] for b, e in op4.units(text)] == ["One two.", 'Three "four."', "Five", "six 1.5 seven!"]
     assert op4.cut("a.\nb.\nc.", [(3, 5)]) == "a.\nc." and op4.cut("a. b. c.", [(3, 5)]) == "a. c." and op4.cut("x", [(0, 1)]) == ""
 
 
@@ -235,6 +235,8 @@ def test_substring_dedup(spark, odd):
     (span,) = found[9][0].removed
     assert original[9][span.begin : span.end] == PASSAGE and span.words == 60
     assert op4.dedup(empty(spark)).count() == 0
+    clash = spark.createDataFrame([(1, "a b\nc", 7), (2, "a  B\nd", 8)], "doc_id long, text string, removed int")
+    assert sorted((r.doc_id, r.text, r.removed, len(r.cut or [])) for r in op4.dedup(clash, removed_col="cut").collect()) == [(1, "a b\nc", 7, 0), (2, "d", 8, 1)]
 
 
 def test_substring_dedup_takes_short_lines_at_any_length(spark):
@@ -261,7 +263,7 @@ def test_substring_dedup_of_scripts_without_blanks(spark):
         r = random.Random(seed)
         return "".join(chr(first + r.randint(0, 40)) + (stop if i % 15 == 14 else "") for i in range(n))
 
-    assert [t for _, _, t in op4.units("你好。再见！「好。」完")] == ["你好。", "再见!", "「好。」", "完"]
+    assert [op4.normal("你好。再见！「好。」完"[b:e]) for b, e in op4.units("你好。再见！「好。」完")] == ["你好。", "再见!", "「好。」", "完"]
     rows, passages = [], []
     for k, (first, stop) in enumerate([(0x4E00, "。"), (0x4E00, ""), (0x3041, "。"), (0x0E01, "")]):
         passages.append(script(300 + k, 105, first, stop))
@@ -278,7 +280,29 @@ def test_substring_dedup_of_scripts_without_blanks(spark):
 def test_cuts_are_the_least_of_each_window(hashes):
     w = op4.WINDOW
     windows = [range(i, i + w) for i in range(len(hashes) - w + 1)]
-    assert op4.cuts(hashes) == sorted({min(r, key=lambda k: (hashes[k], -k)) for r in windows})
+    found = op4.cuts(np.array(hashes, dtype=np.uint64), np.zeros(len(hashes)))
+    assert np.flatnonzero(found).tolist() == sorted({min(r, key=lambda k: (hashes[k], -k)) for r in windows})
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aÀéß.!»\")x漢。 \n\t\xa0ﬁé", max_size=40) | st.sampled_from(["", None, "a. B", "É.» ß", "漢字。x"]), max_size=5))
+def test_units_by_bytes_are_those_by_hand(texts):
+    """A text alone, among others, and word by word: the same units and digests, which are equal where the normalised words are."""
+    found = op4.keyed(pa.array(texts, pa.string()))
+    names = ("begin", "end", "words", "weight", "high", "low", "unit")
+    for k, text in enumerate(texts):
+        rows = sorted(zip(*(found[c][found["text"] == k].tolist() for c in names)))
+        alone = op4.keyed(pa.array([text], pa.string()))
+        assert rows == sorted(zip(*(alone[c].tolist() for c in names)))
+        if text and not op4._BY_HAND.search(text):
+            by_hand = op4._units(op4.words_by_hand([text]), np.array([0]))
+            assert rows == sorted(zip(*(by_hand[c].tolist() for c in names)))
+        for begin, end, words, _, high, low, unit in rows:
+            assert text[begin:end].strip() == text[begin:end] != "" and "\n" not in text[begin:end]
+            if unit == op4.LINE:
+                again = op4.keyed(pa.array([op4.normal(text[begin:end])]))
+                if op4.normal(text[begin:end]).split() == [op4.normal(x) for x in text[begin:end].split()] and not op4._BY_HAND.search(text[begin:end]):
+                    assert (high, low) in {(h, l) for h, l, u in zip(again["high"].tolist(), again["low"].tolist(), again["unit"].tolist()) if u == op4.LINE}
 
 
 # 5

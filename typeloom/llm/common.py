@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker looks at in one go; bounds the scratch memory of vectorised passes.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch, unless the application sets the limit: ten thousand texts a batch fill the executors' memory.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +42,7 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/typeloom-{label}-{uuid.uuid4().hex}"
+    spark.sparkContext._jvm.System.gc()  # as in sweep; one step later the second time
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     made = spark.read.schema(df.schema).parquet(path)
@@ -46,6 +50,16 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return made
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of earlier steps, in whose stead there are tables by now.
+
+    It does so when the driver's JVM finds them unreachable, which takes two rounds.
+    """
+    for _ in range(2):
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+
+
 def release(made: DataFrame) -> None:
     """Remove a table that ``durable`` wrote, once nothing will read it again."""
     _remove(made.sparkSession, made._typeloom_path)
@@ -90,6 +104,9 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
         finally:
             give_back()
 
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(BATCH_LIMIT):
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
 

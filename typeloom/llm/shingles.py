@@ -53,36 +53,27 @@ class Shingler:
             self.powers = np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, _BASE, U)]))
             self.inverses = np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, _INVERSE, U)]))
 
-    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The sorted shingle hashes of each text of an Arrow string array (null: none)."""
-        texts = texts.cast(pa.large_string())
-        if texts.null_count:
-            texts = texts.fill_null("")
-        n = len(texts)
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
-        whole = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        if not len(whole):
-            for _ in range(n):
-                yield np.empty(0, U)
-            return
-        word = ~_SPACE[whole]
-        begins, ends = word.copy(), word.copy()
-        begins[1:] &= ~word[:-1]
-        ends[:-1] &= ~word[1:]
-        edges = offsets[1:-1]
-        edges = edges[(edges > 0) & (edges < len(whole))]
-        begins[edges] = word[edges]
-        ends[edges - 1] = word[edges - 1]
-        begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+    def hash_words(self, whole: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of words in an array of UTF-8 bytes; ``ends`` are places of last bytes."""
         self._reach(len(whole) + 1)
-        sums = np.zeros(len(whole) + 1, dtype=U)
         lower = _LOWER[whole]
+        sums = np.zeros(len(whole) + 1, dtype=U)
         np.cumsum(self.bytes[lower] * self.powers[: len(whole)], out=sums[1:])
         words = mix((sums[ends + 1] - sums[begins]) * self.inverses[begins])
         long = np.flatnonzero(ends - begins >= LONG)
         if len(long):
             words[long] = [xxhash.xxh3_64_intdigest(lower[a : b + 1].tobytes(), self.seed) for a, b in zip(begins[long].tolist(), ends[long].tolist())]
+        return words
+
+    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The sorted shingle hashes of each text of an Arrow string array (null: none)."""
+        offsets, whole = utf8_of(texts)
+        if not len(whole):
+            for _ in range(len(texts)):
+                yield np.empty(0, U)
+            return
+        begins, ends = words_of(whole, offsets, _SPACE)
+        words = self.hash_words(whole, begins, ends)
         firsts = np.searchsorted(begins, offsets)
         k = self.k
         runs = np.zeros(max(0, len(words) - k + 1), dtype=U)
@@ -98,6 +89,29 @@ class Shingler:
                 yield np.empty(0, U)
 
 
+def utf8_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins (and the last one ends), and the bytes of all."""
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], whole
+
+
+def words_of(whole: np.ndarray, offsets: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first and the last byte of each word; words end at the bytes that ``spaces`` marks and at ends of texts."""
+    word = ~spaces[whole]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(whole))]
+    begins[edges] = word[edges]
+    ends[edges - 1] = word[edges - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
 def set_digest(hashes: np.ndarray, salt: int) -> int:
     """64 bits of a set as a signed number; independent for different salts."""
     total = mix(hashes ^ U(salt)).sum(dtype=U) if len(hashes) else U(0)
