@@ -50,8 +50,13 @@ def hashed(column: Column, kind: T.DataType | None = None) -> Column:
 
 
 class Hash(ValueMethod):
+    """xxhash64, or with ``compatible`` the in-process engine's numbers for integers (as signed ones)."""
+
+    def __init__(self, compatible: bool = False):
+        self.compatible = compatible
+
     def apply(self, column: Column) -> Column:
-        return hashed(column)
+        return compatible_hash(column) if self.compatible else hashed(column)
 
 
 class ColumnChecksum(ValueMethod):

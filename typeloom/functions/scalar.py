@@ -89,6 +89,13 @@ def _truncate(column: Column, unit: str) -> Column:
     return F.date_trunc({"MM": "MONTH"}.get(unit, unit), column)
 
 
+def _hashbytes(column: Column, how: str = "sha256") -> Column:
+    known = {"md5": F.md5, "sha1": F.sha1, "sha224": lambda c: F.sha2(c, 224), "sha256": lambda c: F.sha2(c, 256), "sha384": lambda c: F.sha2(c, 384), "sha512": lambda c: F.sha2(c, 512)}
+    if how not in known:
+        raise ValueError(f"unknown digest: {how}")
+    return known[how](column)
+
+
 #: What a deferred chain finds by name on columns before the Column's own methods.
 COLUMN_FUNCTIONS: dict[str, Callable] = {
     "fill_null": lambda c, *v: F.coalesce(c, *map(as_value, v)),
@@ -98,7 +105,7 @@ COLUMN_FUNCTIONS: dict[str, Callable] = {
     "cast": cast, "try_cast": try_cast, "identical_to": identical_to,
     "lower": F.lower, "upper": F.upper, "length": F.length, "ceil": F.ceil, "floor": F.floor, "abs": F.abs, "round": F.round, "isnan": F.isnan,
     "pow": lambda c, n: F.pow(c, as_value(n)),
-    "hashbytes": lambda c, how="sha256": F.sha2(c, 256) if how == "sha256" else F.md5(c),
+    "hashbytes": _hashbytes,
     "day": F.dayofmonth, "month": F.month, "year": F.year, "truncate": _truncate, "date": lambda c: c.cast("date"),
     "time": lambda c: F.date_format(c, "HH:mm:ss.SSSSSS"),
     "sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "count": F.count, "collect": F.collect_list,

@@ -94,7 +94,8 @@ def distinct(df: DataFrame, on: str | Iterable[str] | None = None, keep: str | N
         best = (F.min if keep == "first" else F.max)(F.struct(*rest)).alias("_row")
         picked = df.groupBy(*[named(k) for k in keys]).agg(best)
         return picked.select(*[named(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
-    order = [F.xxhash64(*[c for c in rest])]
+    order = [F.xxhash64(*[F.array_sort(F.map_entries(c)) if isinstance(df.schema[n].dataType, T.MapType) else c for n, c in zip((n for n in df.columns if n not in keys), rest)])]
+    order = order if keep == "first" else [o.desc() for o in order]
     numbered = df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return numbered.where("_at = 1").drop("_at")
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from typeloom.functions.time import TimestampNow
 from typeloom.operators.relational import named
 from typeloom.plans.incremental import BucketedInputsExpression, ChecksumBuckets, as_incremented_buckets
 from typeloom.plans.model import Expression, is_expression
@@ -73,8 +75,8 @@ def evaluate_incremental(target: type[Expression], input_providers: Iterable[Pro
 def construct_increment(target: type[Expression], prior: Table, input_providers: Iterable[Provider]) -> Table:
     """The rows of the target that are new: changed buckets, or an expression over these alone."""
     if issubclass(target, ChecksumBuckets):
-        current = Resolver(*input_providers).build(target)
-        return target.construct_increment(current, prior)
+        resolver = Resolver(*input_providers)
+        return target.construct_increment(resolver.build(target), prior, resolver(TimestampNow))
     if not issubclass(target, BucketedInputsExpression):
         raise TypeError(f"{target.__name__} is not incremental")
     resolver = Resolver(*input_providers)
@@ -89,36 +91,41 @@ def construct_increment(target: type[Expression], prior: Table, input_providers:
 
 
 def merge_increment(target: type[Expression], prior: Table, increment: Table) -> Table:
-    """The newest row of each key, whole.
+    """The newest row of each key, whole; of equal times the increment's, and a row without a time is the oldest.
 
-    The increment is small beside the prior table, so the prior rows whose keys are
-    not in it are kept and the two are put together: one join, which Spark turns
-    into a broadcast by its measured size, and no aggregation of the prior table.
+    The keys of the increment are small beside the prior table. Prior rows with other
+    keys are kept by an anti-join with these keys, and the few prior rows that share
+    one are compared with the increment by an aggregation. Neither join has the prior
+    table on its right side, so Spark can broadcast the keys by their size.
     """
     params = target.incremental_params()
     keys = list(params.group_by)
     names = list(target.types())
-    newest = increment.df.groupBy(*map(named, keys)).agg(F.max_by(F.struct(*names), named(params.updated_at_col)).alias("row")).select("row.*") if keys else increment.df.orderBy(named(params.updated_at_col).desc()).limit(1)
-    old, new = prior.df.select(*names), newest.select(*names)
-    if keys:
-        marked = new.select(*[named(k).alias(f"_{k}") for k in keys], F.col(params.updated_at_col).alias("_at"))
-        same = F.lit(True)
-        for k in keys:
-            same = same & old[k].eqNullSafe(marked[f"_{k}"])
-        kept = old.join(marked, same & ~(old[params.updated_at_col] > marked["_at"]), "left_anti")
-        ahead = kept.select(*[named(k).alias(f"_{k}") for k in keys])
-        both = F.lit(True)
-        for k in keys:
-            both = both & new[k].eqNullSafe(ahead[f"_{k}"])
-        new = new.join(ahead, both, "left_anti")
-        return Table(kept.unionByName(new), target)
-    both = old.unionByName(new)
-    return Table(both.orderBy(named(params.updated_at_col).desc()).limit(1), target)
+    old, new = prior.df.select(*names), increment.df.select(*names)
+    place = F.struct(F.col("_row")[params.updated_at_col].isNotNull(), F.col("_row")[params.updated_at_col], F.col("_new"))
+
+    def rows(df: DataFrame, is_new: bool) -> DataFrame:
+        return df.select(*[named(k) for k in keys], F.struct(*map(named, names)).alias("_row"), F.lit(is_new).alias("_new"))
+
+    if not keys:
+        return Table(rows(old, False).unionByName(rows(new, True)).agg(F.max_by("_row", place).alias("_row")).where("_row IS NOT NULL").select("_row.*"), target)
+    touched = new.select(*[named(k).alias(f"_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & old[k].eqNullSafe(touched[f"_{k}"])
+    both = rows(old.join(touched, same, "left_semi"), False).unionByName(rows(new, True))
+    newest = both.groupBy(*map(named, keys)).agg(F.max_by("_row", place).alias("_row")).select("_row.*")
+    return Table(old.join(touched, same, "left_anti").unionByName(newest), target)
+
+
+def repeated_keys(target: type[Expression], table: Table) -> DataFrame:
+    """The keys with more than one row, and how many (``n``)."""
+    keys = list(target.incremental_params().group_by)
+    counted = table.df.groupBy(*map(named, keys)) if keys else table.df.groupBy()
+    return counted.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def check_increment(target: type[Expression], table: Table) -> None:
     """Every key has one row; else an error."""
-    keys = list(target.incremental_params().group_by)
-    counts = table.df.groupBy(*map(named, keys)).agg(F.count(F.lit(1)).alias("n")) if keys else table.df.agg(F.count(F.lit(1)).alias("n"))
-    if found := counts.where("n > 1").limit(1).collect():
+    if found := repeated_keys(target, table).limit(1).collect():
         raise ValueError(f"{target.__name__} has more than one row for {found[0].asDict()}")

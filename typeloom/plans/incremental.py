@@ -91,10 +91,10 @@ class ChecksumBuckets(IncrementalExpression):
         return bucket_checksums(inputs.df, cls.checksum_params(), F.lit(_clock_of(timestamp)).cast("timestamp_ntz"))
 
     @classmethod
-    def construct_increment(cls, current: Table, prior: Table) -> Table:
-        params = cls.checksum_params()
-        stamped = current.df.agg(F.max(named(params.updated_at_col))).scalar()
-        return Table(changed_buckets(current.df, prior.df, params, stamped), cls)
+    def construct_increment(cls, current: Table, prior: Table, timestamp: Table) -> Table:
+        """The buckets that changed, stamped with the run's time: there may be no current bucket to take it from."""
+        at = F.lit(_clock_of(timestamp)).cast("timestamp_ntz")
+        return Table(changed_buckets(current.df, prior.df, cls.checksum_params(), at), cls)
 
 
 def _clock_of(timestamp: Table) -> Any:

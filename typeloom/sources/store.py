@@ -78,10 +78,11 @@ def force_cast_table(table: Table) -> Table:
 class ParquetTableStore:
     """Tables under ``root/<snake_case(class)>``; nested ``key=value`` folders are read, too.
 
-    A write goes to a staging folder first and is then renamed, so a table may be
-    written that was read from the same place. It replaces files of the table's own
-    folder, or with ``suffix`` (``tenant=5``) only those of that part. Paths are those
-    of any file system that Spark knows.
+    A write goes to a staging folder first, so a table may be written that was read
+    from the same place. It replaces the files of the table's own folder, or with
+    ``suffix`` (``tenant=5``) those of that part; parts beneath the folder stay. New
+    files move in before old ones go, so a crash in between leaves rows twice and
+    loses none. Paths are those of any file system that Spark knows.
     """
 
     root: str
@@ -117,11 +118,16 @@ class ParquetTableStore:
         target = self.folder(table.schema) + (f"/{self.suffix}" if self.suffix else "")
         source, fs = self._path(staged)
         goal, _ = self._path(target)
-        if fs.exists(goal):
-            fs.delete(goal, True)
-        fs.mkdirs(goal.getParent())
-        if not fs.rename(source, goal):
-            raise OSError(f"{staged} could not be moved to {target}")
+        before = [f.getPath() for f in fs.listStatus(goal) if f.isFile()] if fs.exists(goal) else []
+        fs.mkdirs(goal)
+        jvm = self._session()._jvm
+        for f in fs.listStatus(source):
+            # names of parts are unique per write
+            if f.getPath().getName().endswith(".parquet") and not fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(goal, f.getPath().getName())):
+                raise OSError(f"{f.getPath()} could not be moved to {target}")
+        for path in before:
+            fs.delete(path, False)
+        fs.delete(source, True)
         if self.profile:
             plan = stored._jdf.queryExecution().toString()
             out = fs.create(self._path(f"{target}/_profile.json")[0], True)

@@ -1,13 +1,15 @@
 """Incremental relations over a stream: each micro-batch is one incremental run.
 
 The engine's own incremental processing is batch-wise; a Structured Streaming query
-drives it with ``foreachBatch``. State is in stores, as in batch runs, so a batch
-that is run again after a failure gives the same tables.
+drives it with ``foreachBatch``. State is in stores, as in batch runs. The rows of a
+batch are a part of the inputs' table under the batch's number; a batch that is run
+again after a failure writes the same part again, so rows count once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -32,14 +34,11 @@ def run_increment(inputs: Table, buckets: type[ChecksumBuckets], targets: Iterab
 
 
 def start(stream: DataFrame, schema: type[Schema], store, buckets: type[ChecksumBuckets], targets: Iterable[type[Expression]], checkpoint: str, clock: Callable[[], Table] | None = None, **trigger) -> StreamingQuery:
-    """Append each micro-batch to the inputs' table in ``store`` and bring the targets up to date."""
+    """Add each micro-batch as a part to the inputs' table in ``store`` (a Parquet store) and bring the targets up to date."""
     targets = list(targets)
 
     def batch(df: DataFrame, number: int) -> None:
-        before = store(schema)
-        names = list(schema.types())
-        rows = df.select(*names) if before is None else before.df.unionByName(df.select(*names))
-        store.write_table(Table(rows, schema))
+        replace(store, suffix=f"batch={number}").write_table(Table(df.select(*schema.types()), schema))
         run_increment(store(schema), buckets, targets, store, clock() if clock else None)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
