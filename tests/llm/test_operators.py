@@ -128,6 +128,11 @@ def test_main_text(spark):
     assert found[1].text.startswith("Head & tail") and found[2].text == found[3].text == "" and found[4].text == "cut" and found[4].n_chars == 3
     assert all(found[10 + k].text == prose(30 + k, 30) for k in range(5))
     assert op2.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    text = lambda page: " ".join(t for i, t in op2.blocks(page) if i)
+    assert text('<article><div class="article-header"><h1>Title</h1></div><p>x</p></article>') == "Title x"
+    assert text('<article class="related-work"><p>x</p></article>') == text('<div class="alert-systems"><article><p>x</p></article></div>') == "x"
+    assert text('<article><p>x</p></article><div class="comments"><article>no</article></div><article class="comment">no</article><div class="related"><article>no</article></div>') == "x"
+    assert text("<nav>menu<article><p>x</p></article>") == text("<form><p>mail<article>x</article>") == ""
 
 
 @settings(max_examples=60, deadline=None)
@@ -137,7 +142,7 @@ def test_repeated_runs_against_brute_force(streams, least):
     for p, s in enumerate(streams):
         want = [False] * len(s)
         for i in range(len(s) - least + 1):
-            if any(q != p and s[i : i + least] == o[j : j + least] for q, o in enumerate(streams) for j in range(len(o))):
+            if any(o != s and s[i : i + least] == o[j : j + least] for q, o in enumerate(streams) for j in range(len(o))):
                 want[i : i + least] = [True] * least
         assert list(got[p]) == want
 
@@ -351,6 +356,15 @@ def test_a_bad_host_goes_and_good_ones_stay(spark):
 # 7
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="<|\\>im_startend\nas "), max_size=4), st.integers(1, 7))
+def test_formatted_text_is_read_back_wherever_it_is_cut(texts, step):
+    whole, digest = "".join(op7.render("assistant", t) for t in texts), op7.Digest(1)
+    for at in range(0, len(whole), step):
+        digest.feed(whole[at : at + step])
+    assert digest.row()[1:] == (len(texts), hashlib.sha256("".join(f"assistant\n{t}\n" for t in texts).encode()).hexdigest(), sum(map(len, texts)), hashlib.sha256("".join(texts).encode()).hexdigest(), len(whole))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<|\\>im_startend\nas "), st.text(alphabet="<|\\\nab"))
 def test_template_is_reversible(text, role):
@@ -373,6 +387,14 @@ def test_chat(spark):
     assert (found[1].loss_chars, found[1].loss_sha256, found[1].formatted_chars) == (9, hashlib.sha256(b"hellogood").hexdigest(), len(whole))
     assert found[2].n_turns == 2 and found[None].n_turns == 1
     assert op7.digest_log(spark.createDataFrame([], op7.EVENT)).count() == 0
+    turns = [(5, 1, "user", "hi <|im_end|>"), (5, 2, "assistant", "odd"), (5, 2, "assistant", "odd"), (5, None, None, None), (5, 3, "assistant", "a"), (None, 1, "assistant", ""), (6, 1, "a\n\\<|", "<\\|")]
+    replayed = {r.conv_id: r for r in op7.digest_log(op7.events_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
+    for conv in (5, 6, None):
+        own = sorted(((t if t is not None else -1, r or "", x or "") for c, t, r, x in turns if c == conv))
+        masked = "".join(x for _, r, x in own if r == "assistant")
+        row = replayed[conv]
+        assert (row.n_turns, row.turns_sha256) == (len(own), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest())
+        assert (row.loss_chars, row.loss_sha256, row.formatted_chars) == (len(masked), hashlib.sha256(masked.encode()).hexdigest(), sum(len(op7.render(r, x)) for _, r, x in own))
 
 
 # 8

@@ -32,7 +32,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from typeloom.llm.common import column, map_arrow, slices, table
@@ -90,23 +90,31 @@ def _messages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, s
 
 
 class Digest:
-    """What a conversation's formatted text gives when it is read back message by message."""
+    """What a conversation's formatted text gives when it is read back as a stream: ``feed`` takes its next part, wherever it was cut."""
 
     def __init__(self, conv: int | None):
-        self.conv, self.turns, self.loss_chars, self.chars = conv, 0, 0, 0
+        self.conv, self.turns, self.loss_chars, self.chars, self.rest = conv, 0, 0, 0, ""
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, block: str) -> None:
-        for role, text, begin, end in parse(block):
+    def feed(self, part: str) -> None:
+        self.chars += len(part)
+        self.rest += part
+        at = 0
+        for m in _BLOCK.finditer(self.rest):
+            if m.start() != at:
+                raise ValueError(f"conversation {self.conv}: no message begins at {self.rest[at : at + 40]!r}")
+            at = m.end()
+            role, text = unescape_role(m[1]), unescape(m[2])
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
             if role == "assistant":
-                under_mask = unescape(block[begin:end])
-                self.loss.update(under_mask.encode())
-                self.loss_chars += len(under_mask)
-        self.chars += len(block)
+                self.loss.update(text.encode())
+                self.loss_chars += len(text)
+        self.rest = self.rest[at:]
 
     def row(self) -> tuple:
+        if self.rest:
+            raise ValueError(f"conversation {self.conv}: the text ends inside a message")
         return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
@@ -163,7 +171,7 @@ def digest_log(events: DataFrame) -> DataFrame:
                 if len(rows) >= 1000:
                     yield _batch(rows, DIGESTS)
                     rows = []
-            digest.add(render(role, text))
+            digest.feed(render(role, text))
         if digest:
             rows.append(digest.row())
         if rows:
@@ -173,8 +181,26 @@ def digest_log(events: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of finished turns: each row is one message."""
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """The log that a chat service would have kept of these turns; only replaying it gives them.
+
+    Answers come as a draft that is thrown away, a regeneration with the first half
+    and a delta with the rest; other turns as a first half, a delta and an edit of the
+    whole. Turns are numbered by conversation (turn, role, text), so rows that tie
+    keep apart.
+    """
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    numbered = rows.withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.expr("left(text, cast(length(text) / 2 as int))"), F.substring("text", half + 1, F.length("text"))
+    none = F.lit(None).cast("string")
+
+    def event(seq: int, kind: str, role: Column, text: Column) -> Column:
+        return F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    role = F.col("role")
+    answer = F.array(event(0, "message", role, F.concat(F.lit("draft: "), rest)), event(1, "regenerate", none, first), event(2, "delta", none, rest))
+    other = F.array(event(0, "message", role, first), event(1, "delta", none, rest), event(2, "edit", none, F.col("text")))
+    return numbered.select("conv_id", "turn", F.inline(F.when(role == "assistant", answer).otherwise(other))).select("conv_id", "turn", "seq", "kind", "role", "text")
 
 
 #: The conversation that every run formats besides: both its texts are made of control strings.
@@ -182,9 +208,23 @@ HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(-1, 0, 0, "message", "user", HOSTILE), (-1, 1, 0, "message", "assistant", HOSTILE)], EVENT)
-    return digest_log(events_of(table(spark, sf_dir, "conversations")).unionByName(own))
-
+    own = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return digest_log(events_of(turns.unionByName(own)))
+
+
+#: The same from the turns themselves, without a log. Escaping adds a character to each ``<``, backslashes, ``|``, and to backslashes and line ends of roles.
+ORACLE = rf"""
+WITH c AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{HOSTILE}'), (-1, 1, 'assistant', '{HOSTILE}')),
+e AS (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(START) + 1 + len(END)} + length(shown) + len(regexp_extract_all(shown, '<\\*[|]')) + length(text) + len(regexp_extract_all(text, '<\\*[|]'))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
 
 QUERIES = {"op7_chat": op7_chat}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_chat": ORACLE}

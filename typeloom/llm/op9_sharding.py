@@ -120,5 +120,13 @@ f AS (SELECT h.doc_id, h.n_bytes, h.hash, min(s.depth) AS depth FROM h, l, s WHE
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(depth AS INTEGER) AS depth, substr(lpad(bin(hash), {HASH_BITS}, '0'), 1, CAST(depth AS INTEGER)) AS shard FROM f"""
 
 
-QUERIES = {"op9_sharding": op9_sharding}
-ORACLES = {"op9_sharding": _oracle()}
+#: A limit at which the small tables split, too.
+SMALL_BYTES = 256 << 10
+
+
+def sharding_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign(table(spark, sf_dir, "documents"), SMALL_BYTES)
+
+
+QUERIES = {"op9_sharding": op9_sharding, "sharding_small": sharding_small}
+ORACLES = {"op9_sharding": _oracle(), "sharding_small": _oracle(SMALL_BYTES)}
