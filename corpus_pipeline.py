@@ -32,10 +32,19 @@ from typeloom.llm.common import durable
 LEAST_SCORE = 0.5
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op5_language.train(docs, ~op5_language.held_out(F.col("doc_id")))
-    found = op5_language.identify(docs, model, "_language", "_score")
-    return found.where((F.col("_language") != op5_language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).drop("_language", "_score")
+    lang, score = _free(docs, "language"), _free(docs, "score")
+    found = op5_language.identify(docs, model, lang, score)
+    return found.where((F.col(lang) != op5_language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +54,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = op3_ngram_join.Join(5, 8, 10).run(docs)
     kept = durable(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    own = docs.withColumn("_text", F.xxhash64("text"))
-    return own.join(kept, own["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
+    mark = _free(docs, "text_hash")
+    own = docs.withColumn(mark, F.xxhash64("text"))
+    return own.join(kept, own["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", mark]).drop(mark)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = op4_substring_dedup.dedup(docs).drop("removed")
+    spans = _free(docs, "removed")
+    cut = op4_substring_dedup.dedup(docs, removed_col=spans).drop(spans)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
