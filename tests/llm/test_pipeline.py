@@ -38,6 +38,16 @@ def test_empty(spark, tmp_path):
         assert docs.count() == 0
 
 
+def test_clashing_names_are_kept(spark):
+    docs = docs_of(spark, [(i, prose(100 + i, 120), "en", "s") for i in range(12)])
+    for c in ("language", "score", "_score", "text_hash", "removed", "_kept", "row", "spans"):
+        docs = docs.withColumn(c, F.lit(c))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, "")
+        assert made.columns == docs.columns and made.count() == 12
+        assert {(r.score, r._score, r.removed, r.text_hash, r["_kept"], r.spans) for r in made.collect()} == {("score", "_score", "removed", "text_hash", "_kept", "spans")}
+
+
 def test_run_is_the_stages(spark):
     small = "/root/testdata/sf0.001"
     got = corpus_pipeline.run(spark, small)
