@@ -138,13 +138,47 @@ def test_main_text(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=5), st.integers(2, 5))
 def test_repeated_runs_against_brute_force(streams, least):
-    got = op2.repeated_cover([np.array(s, dtype=np.int64) for s in streams], least)
+    at, low, high, some_open = op2.repeated_runs([np.array(s, dtype=np.int64) for s in streams], np.arange(len(streams)), np.arange(len(streams)) == 1, least)
+    flat = [x for s in streams for x in s]
+    want = {}
     for p, s in enumerate(streams):
-        want = [False] * len(s)
         for i in range(len(s) - least + 1):
-            if any(o != s and s[i : i + least] == o[j : j + least] for q, o in enumerate(streams) for j in range(len(o))):
-                want[i : i + least] = [True] * least
-        assert list(got[p]) == want
+            want.setdefault(tuple(s[i : i + least]), []).append(p)
+    assert {tuple(flat[i : i + least]): found for i, *found in zip(at, low, high, some_open)} == {k: [min(v), max(v), 1 in v] for k, v in want.items()} and len(at) == len(want)
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 18])
+def test_unique_runs_of_hosts_against_brute_force(spark, chunk):
+    r = random.Random(5)
+    least = 4
+    words = lambda n: [r.choice("abc") for _ in range(n)]
+    pages = [(k, f"http://h{r.randrange(12)}.org/{k}", words(r.randrange(0, 16)), r.random() < 0.3) for k in range(90)]
+    pages += [(100 + k, "http://hot.org/", words(12) if k % 3 else list("abcaabbccabc"), k % 7 == 0) for k in range(60)]
+    rows = [(k, u, ("<article><p>%s</article>" if article else "<p>%s") % " ".join(w)) for k, u, w, article in pages]
+    got = {x.page_id: x for x in op2.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), least, chunk).collect()}
+    assert len(got) == len(pages)
+    hosts = {}
+    for _, u, w, _ in pages:
+        hosts.setdefault(u.split("/")[2], []).append(w)
+    cut = 0
+    for k, u, w, article in pages:
+        gone = set()
+        for i in range(len(w) - least + 1):
+            if any(o != w and o[j : j + least] == w[i : i + least] for o in hosts[u.split("/")[2]] for j in range(len(o))):
+                gone.update(range(i, i + least))
+        kept = w if article else [x for i, x in enumerate(w) if i not in gone]
+        assert got[k].text == " ".join(kept) and got[k].repeated_tokens == len(w) - len(kept)
+        cut += len(w) != len(kept)
+    assert cut > 20
+
+
+def test_text_does_not_hang_on_the_number_of_pages(spark):
+    boiler = prose(20, 40)
+    two = [(k, "http://big.org/", f"<p>{boiler}</p><p>{prose(900 + k, 30)}") for k in (0, 1)]
+    others = [(k, "http://big.org/", f"<p>{prose(1000 + k, 40)}") for k in range(2, 1500)]
+    for rows in (two, two + others):
+        got = op2.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id < 2").collect()
+        assert {x.page_id: x.text for x in got} == {k: prose(900 + k, 30) for k in (0, 1)}
 
 
 # 3
