@@ -34,6 +34,8 @@ from typeloom.llm.common import column, crc_mod4, map_arrow, slices, table
 
 MAX_N, DIMENSIONS = 4, 1 << 16
 PER_LANGUAGE, LANDMARKS, RIDGE = 400, 256, 1e-2
+#: Text bytes that are scored in one go: their n-grams' weights take some ten times as many.
+SLICE = 1 << 20
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -115,7 +117,7 @@ def train(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE,
     sample = rows.select("lang", hashed.alias("h"), "text").where((F.col("h") < bound) & F.col("text").isNotNull())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             found = [spectrum(t).astype(np.int32) for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "lang"), column(batch, "h"), pa.array(found, pa.list_(pa.int32()))], ["lang", "h", "slots"])
 
@@ -137,7 +139,7 @@ def identify(docs: DataFrame, model: Model, language_col: str = "lang_pred", sco
         from typeloom.llm.op5_language import Model
 
         m = Model(*shared.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             languages, scores = m.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*names, language_col, score_col])
 
