@@ -93,12 +93,32 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow``, after which a worker gives memory back: it is kept for later tasks, and others run beside it meanwhile."""
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """``make()``, which a worker keeps for later tasks of the same ``map_arrow(..., keeps=name)``."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def keep_only(name: str | None) -> None:
+    """Drop what other operators' tasks left in this worker: vocabularies and memories that nobody asks for again would add up."""
+    for other in [k for k in _kept if k != name]:
+        del _kept[other]
+
+
+def map_arrow(df: DataFrame, function, schema: str, keeps: str | None = None) -> DataFrame:
+    """``mapInArrow``, after which a worker gives memory back: it is kept for later tasks, and others run beside it meanwhile.
+
+    Of what ``kept`` made, only ``keeps`` outlives the start of another function's task.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from typeloom.llm.common import give_back
+        from typeloom.llm.common import give_back, keep_only
 
+        keep_only(keeps)
         try:
             yield from function(batches)
         finally:

@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import column, map_arrow, slices, table
+from typeloom.llm.common import column, kept, map_arrow, slices, table
 
 MARK = "▁"
 #: Chunks that a worker remembers, and code points of the longest one remembered.
@@ -189,13 +189,8 @@ class Segmenter:
             yield ids.count(" ") + 1 if ids else 0, ids, "".join(p).replace(MARK, " ")[1:]
 
 
-_loaded: dict[str, Segmenter] = {}
-
-
 def segmenter(path: str) -> Segmenter:
-    if path not in _loaded:
-        _loaded[path] = Segmenter(path)
-    return _loaded[path]
+    return kept(f"pieces of {path}", lambda: Segmenter(path))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -216,7 +211,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, schema, f"pieces of {vocabulary}")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

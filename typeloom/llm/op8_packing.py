@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import column, durable, map_arrow, slices, table
+from typeloom.llm.common import column, durable, kept, map_arrow, slices, table
 
 CAPACITY, END_ID = 4096, 1
 #: White-space separated chunks that a worker remembers (two halves of so many), and the longest one remembered.
@@ -137,13 +137,8 @@ class ChunkTokenizer:
         return [p if type(p) is bytes else b"".join([known[c] for c in p]) for p in parts]
 
 
-_loaded: dict[str, ChunkTokenizer] = {}
-
-
 def tokenizer(path: str) -> ChunkTokenizer:
-    if path not in _loaded:
-        _loaded[path] = ChunkTokenizer(path)
-    return _loaded[path]
+    return kept(f"chunks of {path}", lambda: ChunkTokenizer(path))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -168,7 +163,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
             )
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, schema, f"chunks of {vocabulary}")
 
 
 class Openings:
