@@ -527,6 +527,21 @@ def test_sharding(spark, odd):
     assert op9.assign(odd, 1000).count() == odd.count() and op9.assign(empty(spark)).count() == 0
 
 
+def test_sharding_writes_shards(spark, odd, tmp_path):
+    rows = [(i, prose(i, 20 + i % 50), None, f"s{i % 3}") for i in range(200)] + [(7, "x" * 100 + str(i % 5), None, None) for i in range(50)]
+    docs = docs_of(spark, rows).withColumn("Shard", F.lit(1)).withColumn("row", F.lit("r"))
+    path = str(tmp_path / "shards")
+    assert op9.write_shards(docs, path, 4000) == "shard_"
+    read = spark.read.parquet(path)
+    assert sorted(map(str, read.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert read.groupBy("shard_").agg(F.sum(F.octet_length("text")).alias("b")).agg(F.max("b")).first()[0] <= 4000
+    files = [f for f in (tmp_path / "shards").glob("*/part-*.parquet")]
+    assert len(files) == len({f.parent for f in files}) > 4  # one file per shard
+    op9.write_shards(odd, str(tmp_path / "odd"))
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "odd")).select(odd.columns).collect())) == sorted(map(str, odd.collect()))
+    op9.write_shards(empty(spark), str(tmp_path / "empty"))
+
+
 # 10
 
 

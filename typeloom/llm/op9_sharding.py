@@ -70,14 +70,43 @@ def directory(rows: DataFrame, limit: int) -> tuple[DataFrame, int]:
 
 def assign(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, depth and shard (the prefix as bits, and a number behind it for rows that bits cannot part)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), hash_of(F.col(id_col)).alias("hash"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), F.xxhash64(text_col).alias("salt"))
-    rows = durable(rows, "hashed")
-    cells, _ = directory(rows, limit)
+    rows = durable(_hashed(docs, id_col, text_col), "hashed")
+    named = _named(rows, directory(rows, limit)[0], limit)
+    return named.select("doc_id", F.col("bytes").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), "shard")
+
+
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write all columns of ``docs`` as Parquet, a folder per shard; returns the name of the folders' column.
+
+    That is ``shard``, with underscores behind it where a column of ``docs`` has the
+    name. Its values are those of ``assign`` behind an ``s``, so that readers keep
+    their zeros. A shard is written by one task, as a file unless the session bounds
+    the records of one.
+    """
+    name = "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    cells = directory(durable(_hashed(docs, id_col, text_col), "hashed"), limit)[0]
+    named = _named(_hashed(docs, id_col, text_col, whole=True), cells, limit)
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    named.select(*columns, F.concat(F.lit("s"), F.col("shard")).alias(name)).repartition(name).write.partitionBy(name).parquet(path)
+    return name
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """doc_id, hash, bytes and salt of each row, and the row itself if ``whole``."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    return docs.select(F.col(id_col).alias("doc_id"), hash_of(F.col(id_col)).alias("hash"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), F.xxhash64(text_col).alias("salt"), *row)
+
+
+def _named(rows: DataFrame, cells: DataFrame, limit: int) -> DataFrame:
+    """``rows`` with depth and shard."""
+    kept = rows.columns
     sizes = [r.bits for r in cells.select("bits").distinct().collect()]  # one for each round of splits
     parts = []
     for bits in sizes:
         own = cells.where(F.col("bits") == bits).select(F.col("cell").alias("c"), "depth")
-        parts.append(rows.join(own, prefix(F.col("hash"), bits) == F.col("c")).select("doc_id", "hash", "bytes", "salt", "depth"))
+        parts.append(rows.join(own, prefix(F.col("hash"), bits) == F.col("c")).select(*kept, "depth"))
     joined = parts[0] if parts else rows.withColumn("depth", F.lit(None).cast("int"))
     for p in parts[1:]:
         joined = joined.unionByName(p)
@@ -85,9 +114,8 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", te
     stuck = joined.where("depth IS NULL")
     if not stuck.isEmpty():
         named = named.unionByName(_deal(stuck, limit))
-    whole = F.lpad(F.conv(F.col("hash").cast("string"), 10, 2), HASH_BITS, "0")
-    shard = F.concat(F.substring(whole, F.lit(1), F.col("depth")), F.coalesce(F.concat(F.lit("-"), F.col("part").cast("string")), F.lit("")))
-    return named.select("doc_id", F.col("bytes").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), shard.alias("shard"))
+    bits_of = F.lpad(F.conv(F.col("hash").cast("string"), 10, 2), HASH_BITS, "0")
+    return named.withColumn("shard", F.concat(F.substring(bits_of, F.lit(1), F.col("depth")), F.coalesce(F.concat(F.lit("-"), F.col("part").cast("string")), F.lit(""))))
 
 
 def _deal(stuck: DataFrame, limit: int) -> DataFrame:
@@ -101,7 +129,7 @@ def _deal(stuck: DataFrame, limit: int) -> DataFrame:
     step = F.when(small, F.floor((running - F.col("bytes")) / F.lit(max(1, limit // 2)))).otherwise(F.lit(-1) - F.row_number().over(order))
     dealt = fixed.withColumn("step", step)
     numbers = dealt.groupBy("hash", "group", "step").agg(F.count(F.lit(1)).alias("k")).withColumn("part", F.row_number().over(Window.partitionBy("hash").orderBy("group", "step")).cast("long")).drop("k")
-    return dealt.join(numbers, ["hash", "group", "step"]).withColumn("depth", F.lit(HASH_BITS)).select("doc_id", "hash", "bytes", "salt", "depth", "part")
+    return dealt.join(numbers, ["hash", "group", "step"]).withColumn("depth", F.lit(HASH_BITS)).select(*stuck.columns, "part")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
