@@ -22,12 +22,15 @@ stages as an empty table; further columns are kept up to the last stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.llm import op3_ngram_join, op4_substring_dedup, op5_language, op6_quality, op8_packing
-from typeloom.llm.common import durable
+from typeloom.llm.common import durable, rest
 
 LEAST_SCORE = 0.5
 
@@ -40,6 +43,18 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _rested(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun on executors whose JVMs gave back the heap that the stage before grew: its Python workers stand beside them."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rest(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_rested
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op5_language.train(docs, ~op5_language.held_out(F.col("doc_id")))
     lang, score = _free(docs, "language"), _free(docs, "score")
@@ -47,10 +62,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col(lang) != op5_language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
+@_rested
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op6_quality.keep_good(docs)
 
 
+@_rested
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = op3_ngram_join.Join(5, 8, 10).run(docs)
     kept = durable(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
@@ -59,12 +76,14 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return own.join(kept, own["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", mark]).drop(mark)
 
 
+@_rested
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spans = _free(docs, "removed")
     cut = op4_substring_dedup.dedup(docs, removed_col=spans).drop(spans)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
+@_rested
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op8_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 

@@ -3,6 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from typeloom.llm.common import rest
 from tests.llm.test_operators import PASSAGE, brute_components, docs_of, prose
 
 
@@ -52,3 +53,16 @@ def test_run_is_the_stages(spark):
     small = "/root/testdata/sf0.001"
     got = corpus_pipeline.run(spark, small)
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").isEmpty() and got.count() > 0
+
+
+def test_stages_begin_on_rested_executors(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    before = sum(b.getCollectionCount() for b in beans)
+    rest(spark)
+    assert sum(b.getCollectionCount() for b in beans) >= before + spark.sparkContext.defaultParallelism
+
+    rested = []
+    monkeypatch.setattr(corpus_pipeline, "rest", rested.append)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs_of(spark, [(1, prose(1, 120), "en", "s")]), "")
+        assert len(rested) == n + 1

@@ -60,6 +60,15 @@ def sweep(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def rest(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect garbage, upon which they give heap back to the system that Python workers of later tasks need.
+
+    One short task per core. Memory is all that hangs on it: an executor that gets none goes on as it is.
+    """
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def release(made: DataFrame) -> None:
     """Remove a table that ``durable`` wrote, once nothing will read it again."""
     _remove(made.sparkSession, made._typeloom_path)

@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from typeloom.llm.common import column, durable, kept, map_arrow, slices, table
 
 CAPACITY, END_ID = 4096, 1
+#: Text bytes that are split into chunks in one go; the list of them takes some 15 times that.
+CHUNK_BYTES = 1 << 20
 #: White-space separated chunks that a worker remembers (two halves of so many), and the longest one remembered.
 REMEMBERED, LONGEST = 150_000, 48
 #: Control characters that Python takes for white space and the tokenizer does not.
@@ -148,7 +150,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
         from typeloom.llm.op8_packing import tokenizer
 
         t, end = tokenizer(vocabulary), end_id.to_bytes(4, "little")
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", CHUNK_BYTES):
             of, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, data in enumerate(t.encode_all(column(batch, "text").to_pylist())):
                 data += end
