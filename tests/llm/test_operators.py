@@ -181,6 +181,25 @@ def test_text_does_not_hang_on_the_number_of_pages(spark):
         assert {x.page_id: x.text for x in got} == {k: prose(900 + k, 30) for k in (0, 1)}
 
 
+@pytest.mark.parametrize("chunk", [1, 900, 1 << 18])
+def test_what_stands_in_nearly_all_articles_of_a_host_goes(spark, chunk):
+    notice, quote, near = prose(40, 24), prose(41, 24), prose(42, 60)
+    body = lambda k: prose(2000 + k, 60)
+    page = lambda *parts: "<nav>Menu</nav><article>" + "".join(f"<p>{x}</p>" for x in parts) + "</article>"
+    rows = [(k, "http://a.org/", page(body(k), notice) if k % 10 else page(body(k))) for k in range(20)]  # on 18 of 20
+    rows += [(k, "http://a.org/", rows[k][2]) for k in (1, 0)] + [(0, "http://a.org/", rows[0][2])] * 3  # copies count once
+    rows += [(100 + k, "http://b.org/", page(body(k), quote) if k % 5 else page(body(k), "x")) for k in range(20)]  # on 16 of 20
+    rows += [(200 + k, "http://c.org/", page(body(k), notice)) for k in range(9)]  # too few pages to tell
+    rows += [(300 + k, "http://d.org/", page(near, f"{k} is another")) for k in range(20)]  # near copies
+    rows += [(400 + k, "http://e.org/", page(f"{body(k)} {notice}")) for k in range(20)]  # not a block of its own
+    rows += [(500, "http://a.org/", f"<p>{notice}</p><p>{body(500)}")]  # a page without an article there
+    got = op2.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), chunk_tokens=chunk).collect()
+    want = {k: body(k) for k in range(20)} | {100 + k: f"{body(k)} {quote if k % 5 else 'x'}" for k in range(20)} | {200 + k: f"{body(k)} {notice}" for k in range(9)}
+    want |= {300 + k: f"{near} {k} is another" for k in range(20)} | {400 + k: f"{body(k)} {notice}" for k in range(20)} | {500: body(500)}
+    assert len(got) == len(rows) and {x.page_id: x.text for x in got} == want
+    assert all(x.n_chars == len(x.text) and x.repeated_tokens == (24 if x.page_id == 500 or x.page_id < 20 and x.page_id % 10 else 0) for x in got)
+
+
 # 3
 
 

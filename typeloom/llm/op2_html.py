@@ -9,19 +9,28 @@ The token streams of a host's pages are concatenated and a suffix array (prefix
 doubling up to ``MIN_REPEAT`` tokens, which is as deep as the question goes) finds
 the runs of that length that stand on distinct pages; copies of a page, alike in all
 tokens, are one page. In open blocks such runs are boilerplate and go; unique runs
-stay. An article is kept whole, since two pages may well quote the same text.
+stay. Inside an article a repeat alone says little, since two pages may well quote the
+same text. There a block goes if runs cover all of it that stand on nine in ten of the
+host's distinct pages with articles, of which there are ``MIN_ARTICLES`` or more: a
+notice that markup does not name. An article that would lose half of its tokens or more
+is a near copy of the others and stays whole.
 
-A page with an article consists of its article blocks. A page without one consists
-of the unique runs of its open blocks; ``repeated_tokens`` tells how many went.
+A page with an article consists of what is left of its article blocks. A page without
+one consists of the unique runs of its open blocks; ``repeated_tokens`` tells how many
+went.
 
 A host may have any number of pages, so its streams are dealt into arrays of about
 ``CHUNK_TOKENS`` tokens. Each array reduces its part to one row per distinct run (128
 bits of it, and the least and greatest page), the rows of all arrays are grouped, and
-runs on distinct pages are joined back to the pages that have them. How a host is
-dealt thus changes no text. Only hosts with a page without an article take part: a
-bitmap of them spares the others the shuffle, the join by run is exact. Common runs
-are one row on the one side of that join; the other side is split by the adaptive
-skew join. A worker holds one array and one page beyond it.
+runs on distinct pages are joined back to the pages that have them. For articles, a run
+on nine in ten of a host's pages is on as many of the pages of one of its arrays at
+least, so an array reports only those, with a bound for the ones that it does not; the
+few that may reach nine in ten of all pages are counted page by page. How a host is
+dealt thus changes no text. Hosts take part that have a page without an article or
+``MIN_ARTICLES`` with one: in others the array has nothing to decide. Bitmaps spare
+these the shuffle, the joins by run are exact. Common runs are one row on the one side of
+that join; the other side is split by the adaptive skew join. A worker holds one array
+and one page beyond it.
 
 Results for odd input: null or empty html gives the empty text; a null url is a
 host of its own; markup that is cut off ends at the end of the page; repeated rows
@@ -33,7 +42,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +55,8 @@ from typeloom.llm.common import column, durable, in_bitmap, map_arrow, membershi
 
 #: Tokens of a run that counts as repeated.
 MIN_REPEAT = 16
+#: Distinct pages with articles from which on a host shows what stands in nine in ten of them.
+MIN_ARTICLES = 10
 #: Tokens of a suffix array, unless one page has more.
 CHUNK_TOKENS = 1 << 18
 
@@ -160,20 +171,18 @@ def blocks(page: str) -> list[tuple[bool, str]]:
     return found
 
 
-def repeated_runs(streams: list[np.ndarray], digests: np.ndarray, is_open: np.ndarray, least: int = MIN_REPEAT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct runs of ``least`` tokens in streams of token numbers: a place of each in the concatenation, the least and greatest digest of its pages, and whether one of them is open.
+def sorted_runs(streams: list[np.ndarray], least: int = MIN_REPEAT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array over streams of token numbers, of the suffixes with ``least`` tokens or more: their places in the concatenation, their streams, and where in it each distinct run begins.
 
-    A suffix array over all streams, sorted to a depth of ``least`` by prefix
-    doubling: suffixes of equal rank agree on that many tokens, and a run is whatever
-    its neighbours in the array share. Pages with one digest are copies, so a run
-    stands on distinct pages where the two digests differ.
+    It is sorted to a depth of ``least`` by prefix doubling: suffixes of equal rank
+    agree on that many tokens, and a run is whatever its neighbours in the array share.
     """
     lengths = np.array([len(s) for s in streams], dtype=np.int64)
     total = int(lengths.sum())
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(total)  # tokens from here to the end of the page
     whole = np.flatnonzero(left >= least)
     if not len(whole):
-        return whole, digests[:0], digests[:0], is_open[:0]
+        return whole, whole, whole
     _, rank = np.unique(np.concatenate(streams), return_inverse=True)
     rank = rank.astype(np.int64)
     depth = 1
@@ -184,10 +193,33 @@ def repeated_runs(streams: list[np.ndarray], digests: np.ndarray, is_open: np.nd
         _, rank = np.unique(rank * (total + 2) + after + 1, return_inverse=True)
         rank = rank.astype(np.int64)
         depth += step
-    order = whole[np.argsort(rank[whole], kind="stable")]  # the suffix array of suffixes that are long enough
-    ranks, pages, asking = rank[order], np.repeat(digests, lengths)[order], np.repeat(is_open, lengths)[order]
-    starts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
-    return order[starts], np.minimum.reduceat(pages, starts), np.maximum.reduceat(pages, starts), np.logical_or.reduceat(asking, starts)
+    order = whole[np.argsort(rank[whole], kind="stable")]  # suffixes of equal rank stand by place, so by stream
+    ranks = rank[order]
+    return order, np.repeat(np.arange(len(streams)), lengths)[order], np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
+
+
+def _spread(order: np.ndarray, of: np.ndarray, starts: np.ndarray, digests: np.ndarray, is_open: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    if not len(order):
+        return order, digests[:0], digests[:0], is_open[:0]
+    return order[starts], np.minimum.reduceat(digests[of], starts), np.maximum.reduceat(digests[of], starts), np.logical_or.reduceat(is_open[of], starts)
+
+
+def repeated_runs(streams: list[np.ndarray], digests: np.ndarray, is_open: np.ndarray, least: int = MIN_REPEAT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs of ``least`` tokens in streams of token numbers: a place of each in the concatenation, the least and greatest digest of its pages, and whether one of them is open.
+
+    Pages with one digest are copies, so a run stands on distinct pages where the two
+    digests differ.
+    """
+    return _spread(*sorted_runs(streams, least), digests, is_open)
+
+
+def streams_of_runs(of: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """On how many of the ``counted`` streams each distinct run of ``sorted_runs`` stands."""
+    if not len(of):
+        return of
+    first = np.concatenate([[True], of[1:] != of[:-1]])
+    first[starts] = True
+    return np.add.reduceat((first & counted[of]).astype(np.int64), starts)
 
 
 def run_keys(host: int, tokens: np.ndarray, at: np.ndarray, least: int) -> list[np.ndarray]:
@@ -242,10 +274,11 @@ def extract(pages: DataFrame, least: int = MIN_REPEAT, chunk_tokens: int = CHUNK
             found = [blocks(p) for p in column(batch, "html").to_pylist()]
             joined = [" ".join(t for _, t in f) for f in found]
             digests = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in joined], dtype=np.uint64).view(np.int64)
-            is_open = [not any(inside for inside, _ in f) and t.count(" ") + 1 >= least for f, t in zip(found, joined)]
+            article = [any(inside for inside, _ in f) for f in found]
+            is_open = [not a and t.count(" ") + 1 >= least for a, t in zip(article, joined)]
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "page_id"), column(batch, "url"), column(batch, "host"), pa.array(digests), pa.array(is_open, pa.bool_()), pa.array(list(map(_packed, found)), pa.binary())],
-                ["page_id", "url", "host", "digest", "open", "blocks"],
+                [column(batch, "page_id"), column(batch, "url"), column(batch, "host"), pa.array(digests), pa.array(is_open, pa.bool_()), pa.array(article, pa.bool_()), pa.array(list(map(_packed, found)), pa.binary())],
+                ["page_id", "url", "host", "digest", "open", "article", "blocks"],
             )
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,18 +292,38 @@ def extract(pages: DataFrame, least: int = MIN_REPEAT, chunk_tokens: int = CHUNK
 
         def done() -> pa.RecordBatch:
             numbers: dict[str, int] = {}
-            streams = [np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64) for words, _, _ in held]
-            at, *rest = repeated_runs(streams, np.array([d for _, d, _ in held], dtype=np.int64), np.array([o for _, _, o in held], dtype=bool), least)
-            tokens = _hashes(numbers)[np.concatenate(streams)]
-            return pa.RecordBatch.from_arrays([*map(pa.array, run_keys(of, tokens, at, least)), *map(pa.array, rest)], ["hi", "lo", "low", "high", "open"])
+            streams = [np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64) for words, *_ in held]
+            digests, is_open, article = np.array([h[1] for h in held], dtype=np.int64), np.array([h[2] for h in held], dtype=bool), np.array([h[3] for h in held], dtype=bool)
+            order, pages, starts = sorted_runs(streams, least)
+            at, low, high, some_open = _spread(order, pages, starts, digests, is_open)
+            n = int(article.sum())
+            missed = max(0, (9 * n - 1) // 10)  # the most pages of a run that is not on nine in ten of these
+            on = streams_of_runs(pages, starts, article)
+            common = 10 * on >= 9 * n if n else np.zeros(len(at), dtype=bool)
+            told = np.ones(len(at), dtype=bool) if in_bitmap(asking_hosts.value, np.array([of]))[0] else common
+            at, low, high, some_open, on, common = (x[told] for x in (at, low, high, some_open, on, common))
+            tokens = _hashes(numbers)[np.concatenate(streams)] if len(at) else np.zeros((0, 2), dtype=np.uint64)
+            # the last row is the array's own: what runs that it does not report as common may have in it
+            more = [pa.array([None], pa.int64())]
+            return pa.RecordBatch.from_arrays(
+                [
+                    *(pa.concat_arrays([pa.array(k, pa.int64()), *more]) for k in (*run_keys(of, tokens, at, least), low, high)),
+                    pa.array([*some_open.tolist(), None], pa.bool_()), pa.array([of] * (len(at) + 1), pa.int64()), pa.concat_arrays([pa.array(on - missed, pa.int64(), mask=~common), pa.array([missed], pa.int64())]),
+                ],
+                ["hi", "lo", "low", "high", "open", "host", "gain"],
+            )
 
         for batch in batches:
-            for host_, digest, is_open, packed in zip(*(column(batch, c).to_pylist() for c in ("host", "digest", "open", "blocks"))):
+            for host_, digest, is_open, article, packed in zip(*(column(batch, c).to_pylist() for c in ("host", "digest", "open", "article", "blocks"))):
+                if held and host_ == of and held[-1][1] == digest:  # a copy
+                    held[-1][2] |= is_open
+                    held[-1][3] |= article
+                    continue
                 if held and (host_ != of or size >= chunk_tokens):
                     yield done()
                     held, size = [], 0
                 of, words = host_, _words(packed)
-                held.append((words, digest, is_open))
+                held.append([words, digest, is_open, article])
                 size += len(words)
         if held:
             yield done()
@@ -283,39 +336,94 @@ def extract(pages: DataFrame, least: int = MIN_REPEAT, chunk_tokens: int = CHUNK
                 keys = run_keys(host_, tokens, at, least)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array([host_] * len(at), pa.int64()), pa.array([digest] * len(at), pa.int64()), pa.array(at, pa.int32())], ["hi", "lo", "host", "digest", "at"])
 
+    def cover(at: list[int] | None, n: int) -> np.ndarray:
+        """Which of ``n`` tokens the runs at these (distinct) places cover."""
+        covered = np.zeros(n + 1, dtype=np.int64)
+        covered[at or []] += 1
+        covered[np.array(at or [], dtype=np.int64) + least] -= 1
+        return np.cumsum(covered[:-1]) > 0
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
             for packed, at in zip(column(batch, "blocks").to_pylist(), column(batch, "at").to_pylist()):
                 words = _words(packed)
-                covered = np.zeros(len(words) + 1, dtype=np.int64)
-                covered[at or []] += 1
-                covered[np.array(at or [], dtype=np.int64) + least] -= 1
-                covered = np.cumsum(covered[:-1]) > 0
+                covered = cover(at, len(words))
                 texts.append(" ".join(w for w, hit in zip(words, covered) if not hit))
                 removed.append(int(covered.sum()))
             yield _texts(batch, texts, removed)
 
-    parsed = durable(map_arrow(rows, parse, "page_id long, url string, host long, digest long, open boolean, blocks binary"), "blocks")
-    settled = map_arrow(parsed.where(~F.col("open")), whole, TEXTS)
-    asking = parsed.where("open")
-    if asking.isEmpty():
-        return settled
-    bitmap = pages.sparkSession.sparkContext.broadcast(membership_bitmap(asking.select("host").distinct(), "host"))
-
-    def of_asking_hosts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_articles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(bitmap.value, column(batch, "host").to_numpy(zero_copy_only=False))))
+            texts, removed = [], []
+            for packed, at in zip(column(batch, "blocks").to_pylist(), column(batch, "at").to_pylist()):
+                found = _unpacked(packed)
+                article, lost, tokens, begin = [], 0, 0, 0
+                covered = cover(at, sum(text.count(" ") + 1 for _, text in found))
+                for inside, text in found:
+                    n = text.count(" ") + 1
+                    if inside:
+                        gone = bool(covered[begin : begin + n].all())
+                        article.append((gone, text))
+                        tokens, lost = tokens + n, lost + n * gone
+                    begin += n
+                if 2 * lost >= tokens:
+                    article, lost = [(False, text) for _, text in article], 0
+                texts.append(" ".join(text for gone, text in article if not gone))
+                removed.append(lost)
+            yield _texts(batch, texts, removed)
+
+    def of_hosts(*bitmaps):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hosts = column(batch, "host").to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(np.logical_or.reduce([in_bitmap(b.value, hosts) for b in bitmaps])))
+
+        return run
+
+    def hosts_of(df: DataFrame):
+        return pages.sparkSession.sparkContext.broadcast(membership_bitmap(df.select("host").distinct(), "host"))
+
+    parsed = durable(map_arrow(rows, parse, "page_id long, url string, host long, digest long, open boolean, article boolean, blocks binary"), "blocks")
+    asking, articles, plain = parsed.where("open"), parsed.where("article"), parsed.where("not open and not article")
+    many = durable(articles.groupBy("host").agg(F.countDistinct("digest").alias("n")).where(F.col("n") >= MIN_ARTICLES), "hosts")
+    asking_hosts, many_hosts = hosts_of(asking), hosts_of(many)
 
     # ranges of (host, digest): copies stand side by side, and a large host lies in many partitions
-    near = map_arrow(parsed.select("host", "digest", "open", "blocks"), of_asking_hosts, "host long, digest long, open boolean, blocks binary")
+    near = map_arrow(parsed.select("host", "digest", "open", "article", "blocks"), of_hosts(asking_hosts, many_hosts), "host long, digest long, open boolean, article boolean, blocks binary")
     near = near.repartitionByRange("host", "digest").sortWithinPartitions("host", "digest")
-    found = map_arrow(near, runs, "hi long, lo long, low long, high long, open boolean").groupBy("hi", "lo").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("open").alias("open"))
-    repeated = durable(found.where((F.col("low") != F.col("high")) & F.col("open")).select("hi", "lo"), "repeated")
-    once = asking.groupBy("host", "digest").agg(F.first("blocks").alias("blocks"))
-    places = map_arrow(once, ask, "hi long, lo long, host long, digest long, at int").join(repeated, ["hi", "lo"], "left_semi")
-    covers = places.groupBy("host", "digest").agg(F.collect_list("at").alias("at"))  # places of one page
-    return settled.unionByName(map_arrow(asking.join(covers, ["host", "digest"], "left").select("page_id", "url", "blocks", "at"), cut, TEXTS))
+    found = map_arrow(near, runs, "hi long, lo long, low long, high long, open boolean, host long, gain long").groupBy("host", "hi", "lo").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("open").alias("open"), F.sum("gain").alias("gain"))
+    found = durable(found.where(((F.col("low") != F.col("high")) & F.col("open")) | F.col("gain").isNotNull()), "repeated")
+
+    def places(of: DataFrame, runs_: DataFrame) -> DataFrame:
+        once = of.groupBy("host", "digest").agg(F.first("blocks").alias("blocks"))
+        return map_arrow(once, ask, "hi long, lo long, host long, digest long, at int").join(runs_, ["hi", "lo"], "left_semi")
+
+    def cleaned(of: DataFrame, found_at: DataFrame, cut_: Callable) -> DataFrame:
+        covers = found_at.groupBy("host", "digest").agg(F.collect_list("at").alias("at"))  # places of one page
+        return map_arrow(of.join(covers, ["host", "digest"], "left").select("page_id", "url", "blocks", "at"), cut_, TEXTS)
+
+    out = map_arrow(plain, whole, TEXTS)
+    if not asking.isEmpty():
+        repeated = found.where((F.col("low") != F.col("high")) & F.col("open")).select("hi", "lo")
+        out = out.unionByName(cleaned(asking, places(asking, repeated), cut))
+
+    # runs that may be on nine in ten of a host's articles: what arrays report, and the most that the others may have
+    most = found.where("hi is null").select("host", F.col("gain").alias("missed"))
+    may = found.where("hi is not null and gain is not null").select("host", "hi", "lo", "gain").join(most, "host").join(many, "host")
+    may = durable(may.where(10 * (F.col("gain") + F.col("missed")) >= 9 * F.col("n")).select("host", "hi", "lo", "n"), "common")
+    if may.isEmpty():
+        return out.unionByName(map_arrow(articles, whole, TEXTS))
+    may_hosts = hosts_of(may)
+
+    def elsewhere(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from whole([batch.filter(pa.array(~in_bitmap(may_hosts.value, column(batch, "host").to_numpy(zero_copy_only=False))))])
+
+    there = map_arrow(articles.drop("open", "article"), of_hosts(may_hosts), "page_id long, url string, host long, digest long, blocks binary")
+    found_at = durable(places(there, may), "places")
+    counted = found_at.groupBy("host", "hi", "lo").agg(F.countDistinct("digest").alias("pages")).join(may, ["host", "hi", "lo"]).where(10 * F.col("pages") >= 9 * F.col("n")).select("hi", "lo")
+    return out.unionByName(map_arrow(articles, elsewhere, TEXTS)).unionByName(cleaned(there, found_at.join(counted, ["hi", "lo"], "left_semi"), cut_articles))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
